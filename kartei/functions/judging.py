@@ -8,8 +8,9 @@ Spark's ``levenshtein`` substitutes at cost 1 and cannot be used.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartei.functions.text import characters, equal_fold_key, match_key
@@ -117,11 +118,12 @@ def lcs_length(left: Column, right: Column) -> Column:
     subsequence. Bits beyond the last character never clear, so a fixed word
     width needs no masking by length.
     """
+    fits = F.length(left) <= _BITS
+    narrow, other = F.when(fits, left).otherwise(right), F.when(fits, right).otherwise(left)
     return (
         F.when(F.contains(left, right), F.length(right))
         .when(F.contains(right, left), F.length(left))
-        .when(F.length(left) <= _BITS, _lcs_one_word(left, right))
-        .when(F.length(right) <= _BITS, _lcs_one_word(right, left))
+        .when(F.length(narrow) <= _BITS, _lcs_one_word(narrow, other))
         .otherwise(_lcs_many_words(left, right))
     )
 
@@ -136,6 +138,28 @@ def ratio_of_keys(answer_key: Column, guess_key: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=32)
+def _ratio_of_named_keys(answer_key: str, guess_key: str, application: str) -> Column:
+    return ratio_of_keys(F.col(answer_key), F.col(guess_key))
+
+
+def with_ratio(rows: DataFrame, name: str, case_insensitive: bool = True, umlaut_insensitive: bool = True) -> DataFrame:
+    """Add the ratio of ``answer`` and ``guess``, with both keys computed once per row.
+
+    The ratio is a large expression, so it is built once per application and
+    refers to the keys by name.
+    """
+    keys = "_answer_key", "_guess_key"
+    ratio = _ratio_of_named_keys(*keys, rows.sparkSession.sparkContext.applicationId)
+    keyed = rows.withColumns(
+        {
+            keys[0]: match_key(F.col("answer"), case_insensitive, umlaut_insensitive),
+            keys[1]: match_key(F.col("guess"), case_insensitive, umlaut_insensitive),
+        }
+    )
+    return keyed.withColumn(name, ratio).drop(*keys)
+
+
 def answer_ratio(
     answer: Column, guess: Column, case_insensitive: bool = True, umlaut_insensitive: bool = True
 ) -> Column:

@@ -25,7 +25,7 @@ WAIT_PER_INTERVAL = 1800
 LONGEST_INTERVAL = 5_124_095
 
 # A run of quality-4 grades reaches a fixed point (or the largest bigint) in
-# fewer steps than this from any state; see tests/test_scheduling.py.
+# fewer steps than this from any reachable state; see tests/test_scheduling.py.
 RUN_LIMIT = 6000
 
 

@@ -25,13 +25,19 @@ STATUS_UNMATCHED = "unmatched"
 UMLAUTS = "ÄÖÜäöü"
 VOWELS = "AOUaou"
 
-# '.' would also stop at U+2028 and friends in Java; a marked word may hold
-# anything but a line feed.
-_MARKED = r"\*([^\n]*)\*"
-
 
 def marker_count(prompt: Column) -> Column:
-    return F.length(prompt) - F.length(F.replace(prompt, F.lit(MARKER), F.lit("")))
+    return F.octet_length(prompt) - F.octet_length(F.replace(prompt, F.lit(MARKER), F.lit("")))
+
+
+def _between(prompt: Column) -> Column:
+    """What lies between the two markers of a prompt that has exactly two."""
+    return F.substring_index(F.substring_index(prompt, MARKER, 2), MARKER, -1)
+
+
+def _on_one_line(word: Column) -> Column:
+    # a line feed, and nothing else, parts the markers of a pair
+    return ~F.contains(word, F.lit("\n"))
 
 
 def marker_status(prompt: Column) -> Column:
@@ -41,19 +47,25 @@ def marker_status(prompt: Column) -> Column:
         F.when(count == 0, STATUS_NO_OPENING)
         .when(count == 1, STATUS_NO_CLOSING)
         .when(count > 2, STATUS_TOO_MANY)
-        .when(~prompt.rlike(_MARKED), STATUS_UNMATCHED)
+        .when(~_on_one_line(_between(prompt)), STATUS_UNMATCHED)
         .when(count == 2, STATUS_OK)
     )
 
 
+def _is_ok(prompt: Column) -> Column:
+    """Whether the status is ``ok``, at the cost of one count."""
+    return (marker_count(prompt) == 2) & _on_one_line(_between(prompt))
+
+
 def marked_word(prompt: Column) -> Column:
     """The text between the two markers; NULL unless the prompt is ``ok``."""
-    return F.when(marker_status(prompt) == STATUS_OK, F.regexp_extract(prompt, _MARKED, 1))
+    return F.when(_is_ok(prompt), _between(prompt))
 
 
 def redacted_prompt(prompt: Column) -> Column:
     """The prompt with its marked word replaced by five underscores; NULL unless ``ok``."""
-    return F.when(marker_status(prompt) == STATUS_OK, F.regexp_replace(prompt, _MARKED, REDACTED))
+    head, tail = F.substring_index(prompt, MARKER, 1), F.substring_index(prompt, MARKER, -1)
+    return F.when(_is_ok(prompt), F.concat(head, F.lit(REDACTED), tail))
 
 
 def _whole_word(word: Column, unicode: bool) -> Column:
@@ -62,7 +74,9 @@ def _whole_word(word: Column, unicode: bool) -> Column:
     # Java's own \b is Unicode-aware, hence the explicit lookarounds.
     letters = r"[\p{L}\p{N}_]" if unicode else "[0-9A-Za-z_]"
     edge = f"(?:(?<={letters})(?!{letters})|(?<!{letters})(?={letters}))"
-    return F.concat(F.lit(edge + r"(?iu:\Q"), word, F.lit(r"\E)" + edge))
+    quoted = F.concat(F.lit(r"(?iu:\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    # looking ahead for the word first is cheaper than testing every position for an edge
+    return F.concat(F.lit("(?="), quoted, F.lit(")" + edge), quoted, F.lit(edge))
 
 
 def _literal(replacement: Column) -> Column:

@@ -33,16 +33,19 @@ def tokens(sentences: DataFrame) -> DataFrame:
     return sentences.select("sentence_id", F.posexplode(found).alias("position", "word"))
 
 
-def build_words(sentences: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
-    """Distinct words with dense ids from 1 in word order."""
-    words = tokens(sentences).select("word").distinct()
+def distinct_words(found: DataFrame) -> DataFrame:
+    return found.select("word").distinct()
+
+
+def number_words(words: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+    """Dense ids from 1 in word order. Numbering reads ``words`` more than once: give a stored table."""
     return number_rows(words, ["word"], "_n", size).select((F.col("_n") + 1).alias("word_id"), "word")
 
 
-def build_positions(sentences: DataFrame, words: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def word_positions(found: DataFrame, words: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
     """Every occurrence of every word. Words are skewed by nature, so hot ones are joined apart."""
-    found = join_on_hot_keys(tokens(sentences), words, "word", "inner", ("sentence_id", "position"), size)
-    return found.select("word_id", "sentence_id", "position")
+    joined = join_on_hot_keys(found, words, "word", "inner", ("sentence_id", "position"), size)
+    return joined.select("word_id", "sentence_id", "position")
 
 
 def _identity() -> tuple[str, str]:
@@ -71,13 +74,17 @@ def seeded_order(seed: int = 0) -> Column:
 def word_sentence_sample(index: WordIndex, order: Column | None = None, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
     """One pseudo-random occurrence of each word, with word and sentence.
 
-    A minimum per word combines before the shuffle, however common the word.
+    A minimum per word combines before the shuffle, however common the word. The
+    rows are then few and narrow, but each gets a whole sentence and often a
+    pattern search, so they are spread over a fixed number of tasks.
     """
+    tasks = int(index.positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = F.struct(
         (seeded_order() if order is None else order).alias("rank"), "sentence_id", "position"
     )
     chosen = index.positions.groupBy("word_id").agg(F.min(ranked).alias("_c"))
     rows = chosen.select("word_id", "_c.sentence_id", "_c.position").join(index.words, "word_id")
+    rows = rows.repartition(tasks, "word_id")
     return join_on_hot_keys(rows, index.sentences, "sentence_id", "inner", ("word_id",), size)
 
 

@@ -10,11 +10,12 @@ and only those summaries are folded per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartei.functions.judging import answer_ratio, quality
+from kartei.functions.judging import quality, with_ratio
 from kartei.functions.scheduling import (
     LEARNED_AT,
     NAIVE_LEARNED_AT,
@@ -42,23 +43,25 @@ def graded_actions(
 ) -> DataFrame:
     """The history with ``ratio`` and ``grade`` of every guess."""
     joined = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
-    ratio = answer_ratio(F.col("answer"), F.col("guess"), case_insensitive, umlaut_insensitive)
-    return joined.withColumn("ratio", ratio).withColumn("grade", quality(F.col("ratio")))
+    rated = with_ratio(joined, "ratio", case_insensitive, umlaut_insensitive)
+    return rated.withColumn("grade", quality(F.col("ratio")))
 
 
 def graded_in_all_modes(history: DataFrame, cards: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
     """Four rows per action, one for each pair of judge switches."""
-    joined = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
-    modes = [
+    rated = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
+    modes = {f"_ratio_{int(case)}{int(umlaut)}": (case, umlaut) for case in (False, True) for umlaut in (False, True)}
+    for name, switches in modes.items():
+        rated = with_ratio(rated, name, *switches)
+    entries = [
         F.struct(
             F.lit(case).alias("case_insensitive"),
             F.lit(umlaut).alias("umlaut_insensitive"),
-            quality(answer_ratio(F.col("answer"), F.col("guess"), case, umlaut)).alias("grade"),
+            quality(F.col(name)).alias("grade"),
         )
-        for case in (False, True)
-        for umlaut in (False, True)
+        for name, (case, umlaut) in modes.items()
     ]
-    return joined.withColumn("_mode", F.explode(F.array(*modes))).select("*", "_mode.*").drop("_mode")
+    return rated.withColumn("_mode", F.explode(F.array(*entries))).select("*", "_mode.*").drop("_mode", *modes)
 
 
 def _stretch_rows(graded: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,18 +116,26 @@ def _collected(stretches: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _folded(start: Column) -> Column:
-    return F.aggregate(F.col(_STRETCHES), start, sm2_stretch)
+@lru_cache(maxsize=8)
+def _folded(start: str | None, application: str) -> Column:
+    """The fold of a key's stretches from a fresh state, or from a column; built once per application."""
+    fresh = new_state()
+    first = fresh if start is None else F.coalesce(F.col(start), fresh)
+    return F.aggregate(F.col(_STRETCHES), first, sm2_stretch)
+
+
+def _fold(rows: DataFrame, start: str | None = None) -> Column:
+    return _folded(start, rows.sparkSession.sparkContext.applicationId)
 
 
-def replay(graded: DataFrame, keys: Sequence[str] = CARD, start: Column | None = None) -> DataFrame:
+def replay(graded: DataFrame, keys: Sequence[str] = CARD) -> DataFrame:
     """(keys, last_at, state) from graded actions in chunks.
 
     ``last_at`` is the time of the last action, dropped or not; the state comes
     from the actions that were not dropped.
     """
     folded = _collected(_stretch_rows(graded, keys), keys)
-    return folded.select(*keys, "last_at", _folded(new_state() if start is None else start).alias("state"))
+    return folded.select(*keys, "last_at", _fold(folded).alias("state"))
 
 
 def split_graded(
@@ -164,12 +175,10 @@ def sm2_incremental(snapshot: DataFrame, new_actions: Chunked) -> DataFrame:
     stored = snapshot.withColumnRenamed("last_at", "_stored_at").withColumnRenamed("state", "_stored")
     fresh = _collected(_stretch_rows(new_actions.rows, CARD), CARD)
     joined = stored.join(fresh, CARD, "full_outer")
-    start = F.coalesce("_stored", new_state())
-    moved = _folded(start)
     return joined.select(
         *CARD,
         F.greatest("last_at", "_stored_at").alias("last_at"),
-        F.when(F.col(_STRETCHES).isNull(), F.col("_stored")).otherwise(moved).alias("state"),
+        F.when(F.col(_STRETCHES).isNull(), F.col("_stored")).otherwise(_fold(joined, "_stored")).alias("state"),
     )
 
 

@@ -184,16 +184,20 @@ def exact_judge(s: Study) -> DataFrame:
     return _answered(s).select("event_id", judging.exact_ratio(col("answer"), col("guess")).alias("ratio"))
 
 
+_MODES = {
+    "exact_ratio": (False, False),
+    "case_ratio": (True, False),
+    "umlaut_ratio": (False, True),
+    "both_ratio": (True, True),
+}
+
+
 @query
 def answer_ratio(s: Study) -> DataFrame:
-    pair = (col("answer"), col("guess"))
-    return _answered(s).select(
-        "event_id",
-        judging.answer_ratio(*pair, False, False).alias("exact_ratio"),
-        judging.answer_ratio(*pair, True, False).alias("case_ratio"),
-        judging.answer_ratio(*pair, False, True).alias("umlaut_ratio"),
-        judging.answer_ratio(*pair, True, True).alias("both_ratio"),
-    )
+    rated = _answered(s)
+    for name, switches in _MODES.items():
+        rated = judging.with_ratio(rated, name, *switches)
+    return rated.select("event_id", *_MODES)
 
 
 @query
@@ -592,5 +596,6 @@ def stream_deck_table(s: Study) -> DataFrame:
 
 @query
 def build_word_index(s: Study) -> DataFrame:
-    words = corpus.build_words(s.sentences)
-    return corpus.build_positions(s.sentences, words).join(words, "word_id")
+    found = s.stored("found", corpus.tokens(s.sentences))
+    words = s.stored("found-words", corpus.number_words(s.stored("found-distinct", corpus.distinct_words(found))))
+    return corpus.word_by_id(corpus.word_positions(found, words), words)

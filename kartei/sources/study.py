@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kartei.functions.text import STATUS_OK, fold_umlauts, marker_status
 from kartei.operators.cards import answers
-from kartei.operators.corpus import WordIndex, build_positions, build_words
+from kartei.operators.corpus import WordIndex, distinct_words, number_words, tokens, word_positions
 from kartei.operators.history import ORDER, derive_drop, judged_actions
 from kartei.operators.replay import card_status, graded_actions, split_graded
 from kartei.plans.chunks import join_on_hot_keys, number_rows, split_groups
@@ -84,9 +84,12 @@ class Study:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stored(self, name: str, rows: DataFrame) -> DataFrame:
-        """Write a table to the shared folder and read it back: short lineage, safe from lost executors."""
+        """Write a table to the shared folder and read it back: short lineage, safe from lost executors.
+
+        The rebalance hint makes files of even size, whatever came out of the last step.
+        """
         path = new_folder(self.spark, f"{self.source}-{name}")
-        rows.write.parquet(path)
+        rows.hint("rebalance").write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     @property
@@ -160,7 +163,7 @@ class Study:
     def guess_path(self) -> str:
         """The guesses stored as files, for streams to read."""
         path = new_folder(self.spark, f"{self.source}-guesses")
-        self.guesses.write.parquet(path)
+        self.guesses.hint("rebalance").write.parquet(path)
         return path
 
     @cached_property
@@ -225,8 +228,9 @@ class Study:
     @cached_property
     def word_index(self) -> WordIndex:
         sentences = self.sentences.select("sentence_id", "sentence")
-        words = self.stored("words", build_words(sentences))
-        return WordIndex(words, sentences, self.stored("positions", build_positions(sentences, words)))
+        found = self.stored("tokens", tokens(sentences))
+        words = self.stored("words", number_words(self.stored("distinct-words", distinct_words(found))))
+        return WordIndex(words, sentences, self.stored("positions", word_positions(found, words)))
 
 
 _STUDIES: dict[tuple[str, str], Study] = {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kartei.functions.judging import answer_ratio, quality
+from kartei.functions.judging import quality, with_ratio
 from kartei.functions.scheduling import (
     FIRST_EASE,
     FIRST_INTERVAL,
@@ -52,10 +52,8 @@ def _join_static(stream: DataFrame, lookup: DataFrame, on: str, salts: int = 16)
 
 def stream_judge(guesses: DataFrame, cards: DataFrame) -> DataFrame:
     """Guesses with ratio, grade and verdict. Stateless."""
-    ratio = answer_ratio(F.col("answer"), F.col("guess"))
     return (
-        _join_static(guesses, answers(cards), "card_id")
-        .withColumn("ratio", ratio)
+        with_ratio(_join_static(guesses, answers(cards), "card_id"), "ratio")
         .withColumn("grade", quality(F.col("ratio")))
         .withColumn("correct", F.col("ratio") == 1.0)
     )
