@@ -27,6 +27,8 @@ LONGEST_INTERVAL = 5_124_095
 # A run of quality-4 grades reaches a fixed point (or the largest bigint) in
 # fewer steps than this from any reachable state; see tests/test_scheduling.py.
 RUN_LIMIT = 6000
+# The ease alone settles within this many 4s.
+EASE_LIMIT = 4
 
 
 def state(ease: Column, interval: Column, learned: Column, progress: Column, seen: Column) -> Column:
@@ -119,8 +121,9 @@ def _first_or_later(old: Column, stretch: Column) -> Column:
     # after the last low grade count for the interval, while every 4 counts for
     # the ease.
     without_low = _after_fours(old["ease_factor"], old["interval"], stretch["fours"])
+    fours_before = F.least(stretch["fours"] - stretch["fours_after_low"], F.lit(EASE_LIMIT))
     with_low = bind(
-        _after_fours(old["ease_factor"], F.lit(0).cast("bigint"), stretch["fours"] - stretch["fours_after_low"]),
+        _after_fours(old["ease_factor"], F.lit(0).cast("bigint"), fours_before),
         lambda before: _after_fours(before["ease"], F.lit(1).cast("bigint"), stretch["fours_after_low"]),
     )
     rest = F.when(stretch["has_low"], with_low).otherwise(without_low)

@@ -96,6 +96,14 @@ def test_runs_of_fours_settle_within_the_limit():
     assert longest < scheduling.RUN_LIMIT
 
 
+def test_the_ease_settles_within_its_limit():
+    for hundredths in range(130, 352):
+        ease = hundredths / 100
+        for _ in range(scheduling.EASE_LIMIT):
+            ease = step((ease, 0, False, 0, 1), 4)[0]
+        assert step((ease, 0, False, 0, 1), 4)[0] == ease
+
+
 def test_long_run_saturates(spark):
     grades = [4] * 3000
     rows = spark.createDataFrame(
