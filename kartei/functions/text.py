@@ -69,9 +69,9 @@ def redacted_prompt(prompt: Column) -> Column:
 
 
 def _whole_word(word: Column, unicode: bool) -> Column:
-    # The reference's \b knows ASCII word characters only, so a word that starts
-    # with an umlaut has a boundary only next to an ASCII letter, digit or '_'.
-    # Java's own \b is Unicode-aware, hence the explicit lookarounds.
+    # Edges know ASCII word characters only, so a word that starts with an umlaut
+    # has an edge only next to an ASCII letter, digit or '_'. Java's own \b is
+    # Unicode-aware, hence the explicit lookarounds.
     letters = r"[\p{L}\p{N}_]" if unicode else "[0-9A-Za-z_]"
     edge = f"(?:(?<={letters})(?!{letters})|(?<!{letters})(?={letters}))"
     quoted = F.concat(F.lit(r"(?iu:\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
