@@ -40,9 +40,9 @@ def actions_today(history: DataFrame, as_of: str | Column) -> DataFrame:
     return history.where(_when(history) == _day(as_of))
 
 
-def deck_actions(history: DataFrame, decks: DataFrame) -> DataFrame:
+def deck_actions(history: DataFrame, decks: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
     """All actions of the given (user, deck) pairs."""
-    return history.join(decks.select(*DECK).distinct(), DECK, "left_semi")
+    return join_on_hot_keys(history, decks.select(*DECK).distinct(), DECK, "left_semi", ("event_id",), size)
 
 
 def times_answered(history: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 CHUNK = "chunk"
 _SPLITS = "_splits"
+# Thinning goes up to two to this power.
+_LEVELS = 24
 
 
 @dataclass(frozen=True)
@@ -24,7 +26,8 @@ class ChunkSize:
     """One row in ``sample_every`` is sampled; a chunk spans ``samples`` sampled rows.
 
     With the defaults a chunk holds about a million rows. ``max_splits`` bounds
-    the split table: past it, chunks become longer instead.
+    the split table, and with it the sample: past ``max_splits * samples`` sampled
+    rows the sample is thinned, so chunks become longer instead.
     """
 
     sample_every: int = 10_000
@@ -42,16 +45,22 @@ def _sampled(rows: DataFrame, identity: Sequence[str], every: int) -> DataFrame:
 def split_points(source: DataFrame, keys: Sequence[str], order: Sequence[str], size: ChunkSize) -> DataFrame:
     """(keys, _splits): sorted split points of the keys that need any.
 
-    At most ``max_splits`` points exist in total, because every stride-th sampled
-    row is kept and the stride is at least sample count / max_splits.
+    The sample is thinned by the least power of two that leaves at most
+    ``max_splits * samples`` rows, which one aggregate over the sample finds. So
+    the rows sorted here and the split points have fixed bounds.
     """
+    bound = size.max_splits * size.samples
     sample = _sampled(source.select(*keys, *order), order, size.sample_every)
-    total = sample.agg(F.count("*")).scalar()
-    stride = F.greatest(F.lit(size.samples).cast("bigint"), F.ceil(total / F.lit(size.max_splits)))
+    mixed = F.xxhash64(*order, F.lit(1))
+    level = F.lit(_LEVELS)
+    for step in reversed(range(_LEVELS)):
+        level = F.when(F.count_if(F.pmod(mixed, F.lit(1 << step)) == 0) <= bound, step).otherwise(level)
+    thinning = F.call_function("shiftleft", F.lit(1).cast("bigint"), sample.agg(level).scalar())
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        sample.withColumn("_position", position)
-        .where(F.col("_position") % stride == 0)
+        sample.where(F.pmod(mixed, thinning) == 0)
+        .withColumn("_position", position)
+        .where(F.col("_position") % size.samples == 0)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(*order))).alias(_SPLITS))
     )
@@ -159,7 +168,7 @@ def fits_broadcast(df: DataFrame) -> bool:
 def join_on_hot_keys(
     facts: DataFrame,
     lookup: DataFrame,
-    on: str,
+    on: str | Sequence[str],
     how: str = "inner",
     identity: Sequence[str] = ("event_id",),
     size: ChunkSize = DEFAULT_SIZE,
@@ -172,11 +181,13 @@ def join_on_hot_keys(
     their lookup rows, and all other keys by a shuffle. Each fact row takes
     exactly one of the two ways.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup):
-        return facts.join(lookup, on, how)
-    counts = _sampled(facts.select(on, *identity), identity, size.sample_every).groupBy(on).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") >= size.samples).orderBy(F.desc("_n"), on).limit(max_hot).select(on)
-    hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    by_broadcast = facts.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_lookup), on, how)
-    by_shuffle = facts.join(F.broadcast(hot), on, "left_anti").join(lookup, on, how)
+        return facts.join(lookup, keys, how)
+    sample = _sampled(facts.select(*dict.fromkeys([*keys, *identity])), identity, size.sample_every)
+    counts = sample.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= size.samples)
+    hot = F.broadcast(counts.orderBy(F.desc("_n"), *keys).limit(max_hot).select(*keys))
+    hot_lookup = F.broadcast(lookup.join(hot, keys, "left_semi"))
+    by_broadcast = facts.join(hot, keys, "left_semi").join(hot_lookup, keys, how)
+    by_shuffle = facts.join(hot, keys, "left_anti").join(lookup, keys, how)
     return by_shuffle.unionByName(by_broadcast)
