@@ -50,15 +50,14 @@ def split_points(source: DataFrame, keys: Sequence[str], order: Sequence[str], s
     the rows sorted here and the split points have fixed bounds.
     """
     bound = size.max_splits * size.samples
-    sample = _sampled(source.select(*keys, *order), order, size.sample_every)
     mixed = F.xxhash64(*order, F.lit(1))
-    level = F.lit(_LEVELS)
-    for step in reversed(range(_LEVELS)):
-        level = F.when(F.count_if(F.pmod(mixed, F.lit(1 << step)) == 0) <= bound, step).otherwise(level)
-    thinning = F.call_function("shiftleft", F.lit(1).cast("bigint"), sample.agg(level).scalar())
+    sample = _sampled(source.select(*keys, *order), order, size.sample_every).withColumn("_mixed", mixed)
+    left = " ".join(f"WHEN count_if(pmod(_mixed, {1 << k}) = 0) <= {bound} THEN {k}" for k in range(_LEVELS))
+    level = sample.agg(F.expr(f"CASE {left} ELSE {_LEVELS} END")).scalar()
+    thinning = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        sample.where(F.pmod(mixed, thinning) == 0)
+        sample.where(F.pmod("_mixed", thinning) == 0)
         .withColumn("_position", position)
         .where(F.col("_position") % size.samples == 0)
         .groupBy(*keys)
