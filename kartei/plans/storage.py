@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -36,3 +39,24 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: its lineage ends here and survives lost executors."""
+    spark = frame.sparkSession
+    folder = new_folder(spark, name)
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package wherever the driver was started from."""
+    context = spark.sparkContext
+    if any(Path(f).name == f"{PACKAGE.name}.zip" for f in context.listFiles):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="kartei-package-"))
+    bundle = folder / f"{PACKAGE.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as target:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            target.write(source, source.relative_to(PACKAGE.parent))
+    context.addPyFile(str(bundle))
