@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from kartei.plans.storage import ship_package
 
 #: One cut in so many bytes, on average.
-CHUNK = 512
+CHUNK = 1024
 SPREAD = 8
 #: A task remembers so many cores at most, and none of more bytes.
 MOST_CORES, LONGEST_CORE = 16_384, 4_096
@@ -76,9 +76,8 @@ def cuts(raw: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes): chunk borders inside the text and the rolling hash at each."""
     if len(raw) <= 8:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    padded = np.ascontiguousarray(raw)
-    eights = np.ndarray((len(raw) - 7,), np.dtype("<u8"), padded, 0, (1,)) * _MIX
-    at = np.flatnonzero((eights >> np.uint64(40)) % np.uint64(chunk) == 0)
+    eights = np.ndarray((len(raw) - 7,), np.dtype("<u8"), np.ascontiguousarray(raw), 0, (1,)) * _MIX
+    at = np.flatnonzero(eights < np.uint64((1 << 64) // chunk))
     return at + 8, eights[at]
 
 
@@ -109,37 +108,41 @@ def pieces(raw: np.ndarray, chunk: int = CHUNK) -> list[tuple[int, int, bool]]:
     return out
 
 
-def encode(text: str, encode_part: Callable[[str], list[int]], memory: dict[bytes, np.ndarray], chunk: int = CHUNK) -> np.ndarray:
-    """All token ids of a text; memory holds the cores met so far."""
+def encode(text: str, encode_part: Callable[[str], list[int]], memory: dict[bytes, bytes], chunk: int = CHUNK) -> bytes:
+    """All token ids of a text, four bytes each; memory holds the cores met so far."""
     data = text.encode("utf-8", "replace")
     parts = []
     for begin, end, core in pieces(np.frombuffer(data, np.uint8), chunk):
         piece = data[begin:end]
         ids = memory.get(piece) if core else None
         if ids is None:
-            ids = np.array(encode_part(piece.decode("utf-8")), "<u4")
+            ids = np.array(encode_part(piece.decode("utf-8")), "<u4").tobytes()
             if core and len(piece) <= LONGEST_CORE:
                 if len(memory) >= MOST_CORES:
                     memory.clear()
                 memory[piece] = ids
         parts.append(ids)
-    return np.concatenate(parts) if parts else np.empty(0, "<u4")
+    return b"".join(parts)
 
 
 def _encoder(vocabulary: str, chunk: int):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary)
-        memory: dict[bytes, np.ndarray] = {}
+        memory: dict[bytes, bytes] = {}
+
+        special = list(coder.special_tokens_set)
 
         def part(text: str) -> list[int]:
-            return coder.encode(text, allowed_special="all")
+            if any(token in text for token in special):
+                return coder.encode(text, allowed_special="all")
+            return coder.encode_ordinary(text)
 
         for batch in parts:
             ids, decoded = [], []
             for text in batch.column(1).to_pylist():
                 found = encode(text or "", part, memory, chunk)
-                ids.append(found.tobytes())
-                decoded.append(coder.decode(found.tolist()))
+                ids.append(found)
+                decoded.append(coder.decode(np.frombuffer(found, "<u4").tolist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
             )

@@ -52,8 +52,11 @@ def _byte_table() -> np.ndarray:
 _TABLE = _byte_table()
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(which text, first n-gram of each, all n-grams) for blocks of a few MB; long texts take part in several."""
+def blocks(texts: list[str | None], table: np.ndarray = _TABLE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(which text, first n-gram of each, all n-grams) for blocks of a few MB; long texts take part in several.
+
+    table: what each byte is read as.
+    """
     which: list[int] = []
     parts: list[bytes] = []
     size = 0
@@ -62,18 +65,18 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.
         for begin in range(0, len(data), _BLOCK):
             piece = data[begin : begin + _BLOCK + GRAM - 1]
             if parts and size + len(piece) > _BLOCK:
-                yield which, *_grams(parts)
+                yield which, *_grams(parts, table)
                 which, parts, size = [], [], 0
             which.append(i)
             parts.append(piece)
             size += len(piece)
     if parts:
-        yield which, *_grams(parts)
+        yield which, *_grams(parts, table)
 
 
-def _grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _grams(parts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = b" " * GRAM
-    raw = _TABLE[np.frombuffer(pad.join(parts) + pad, np.uint8)]
+    raw = table[np.frombuffer(pad.join(parts) + pad, np.uint8)]
     starts = np.cumsum([0] + [len(x) + GRAM for x in parts[:-1]])
     return starts, np.ndarray((len(raw) - GRAM + 1,), np.dtype("<u4"), raw, 0, (1,)).copy()
 

@@ -4,10 +4,10 @@ One weight vector over hashed features is shared by all grades; ordered threshol
 t_1 < t_2 < ... cut the score s of a text: P(grade >= k) = logistic(s - t_k). The
 expected grade is the sum of these tails, and a text is selected by one of them.
 
-Features are the mean over a text's tokens of each token's hashed lower-case word
-and of its shape (cases, digits and signs, runs shortened), and one feature each for the
-share of different tokens, the share of tokens equal to the one before, and the length,
-in steps. So junk, shouting, and repetition show in few weights.
+Features are the share of each hashed four-byte piece of the text (digits as
+one), and one feature each for the share of different tokens, the share of tokens equal
+to the one before, and the length, in steps. So junk, shouting, and repetition show in
+few weights.
 
 Ratings: 0 for low quality, 1 for good but toxic, 2 for good and clean. At most
 `LABELLED` of them, drawn by a hash of the id, are used; what reaches the driver is bounded by that
@@ -21,65 +21,54 @@ only all are near it. Repeated rows each get a row. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kartei.llm.language import blocks
 from kartei.plans.storage import ship_package
 
 LABELLED = 8_000
 MOST_FEATURES = 256
 SPACE = 1 << 16
-REMEMBERED = 200_000
+#: Steps of each of the three features of the whole text, after the hashed ones.
+STEPS = 64
 GRADES = 3
-_SHAPES = [(re.compile(p), to) for p, to in ((r"[^\W\d_]+", lambda m: _case(m[0])), (r"\d+", "0"), (r"(\W)\1+", r"\1\1"))]
 
 
-def _case(word: str) -> str:
-    if word.islower():
-        return "a"
-    return "A" if word.isupper() and len(word) > 1 else "Aa" if word[0].isupper() and word[1:].islower() else "aA" if len(word) > 1 else "A"
+def _bytes() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[ord("0") : ord("9") + 1] = ord("0")
+    table[[9, 11, 12, 13]] = 0x20
+    return table
 
 
-def _place(name: str) -> int:
-    import xxhash
+_TABLE = _bytes()
 
-    return xxhash.xxh64_intdigest(name.encode("utf-8", "replace")) % SPACE
 
+def _places(grams: np.ndarray) -> np.ndarray:
+    return ((grams * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
 
-@lru_cache(maxsize=REMEMBERED)
-def token_features(token: str) -> tuple[int, int]:
-    """Places of a token's word and of its shape."""
-    shape = token[:64]
-    for pattern, to in _SHAPES:
-        shape = pattern.sub(to, shape)
-    return _place("word " + token.lower()), _place("shape " + shape)
 
-
-def _steps(tokens: list[str]) -> tuple[int, int, int]:
+def _steps(text: str | None) -> list[int]:
+    tokens = (text or "").split()
     n = len(tokens)
-    length = n.bit_length()
-    different = len(set(tokens)) * 10 // n if n else 10
-    again = sum(map(str.__eq__, tokens, tokens[1:])) * 10 // n if n else 0
-    return _place(f"length {length}"), _place(f"different {different}"), _place(f"again {again}")
+    different = len(set(tokens)) * 20 // n if n else 20
+    again = sum(map(str.__eq__, tokens, tokens[1:])) * 20 // n if n else 0
+    return [SPACE + min(n.bit_length(), STEPS - 1), SPACE + STEPS + different, SPACE + 2 * STEPS + again]
 
 
 def features(text: str | None) -> dict[int, float]:
     """Value of each feature of a text."""
-    tokens = (text or "").split()
-    out: dict[int, float] = {}
-    for token, n in Counter(tokens).items():
-        for place in token_features(token):
-            out[place] = out.get(place, 0.0) + n / len(tokens)
-    for place in _steps(tokens):
-        out[place] = out.get(place, 0.0) + 1.0
-    return out
+    total, n = np.zeros(SPACE), 0
+    for _, _, grams in blocks([text], _TABLE):
+        total += np.bincount(_places(grams), minlength=SPACE)
+        n += len(grams)
+    used = np.flatnonzero(total)
+    return dict(zip(used.tolist(), (total[used] / max(n, 1)).tolist())) | {p: 1.0 for p in _steps(text)}
 
 
 class Model:
@@ -87,19 +76,13 @@ class Model:
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
-        listed = weights.tolist()
-
-        @lru_cache(maxsize=REMEMBERED)
-        def of_token(token: str) -> float:
-            word, shape = token_features.__wrapped__(token)
-            return listed[word] + listed[shape]
-
-        self._listed, self._of_token = listed, of_token
 
-    def score(self, text: str | None) -> float:
-        tokens = (text or "").split()
-        whole = sum(self._listed[p] for p in _steps(tokens))
-        return whole + (sum(map(self._of_token, tokens)) / len(tokens) if tokens else 0.0)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for which, starts, grams in blocks(texts, _TABLE):
+            np.add.at(total, which, np.add.reduceat(self.weights[_places(grams)], starts))
+            np.add.at(n, which, np.diff(np.append(starts, len(grams))))
+        return total / np.maximum(n, 1) + self.weights[[_steps(x) for x in texts]].sum(axis=1)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...: a column each."""
@@ -108,8 +91,9 @@ class Model:
 
 def fit_ordinal(grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_grades: int = GRADES, rounds: int = 300) -> Model:
     """Likelihood of cumulative links, climbed by steps scaled by past gradients; thresholds stay ordered by positive gaps."""
-    w, first, gaps = np.zeros(SPACE), 0.0, np.zeros(n_grades - 2)
-    past, past_t = np.full(SPACE, 1e-10), np.full(n_grades - 1, 1e-10)
+    size = SPACE + 3 * STEPS
+    w, first, gaps = np.zeros(size), 0.0, np.zeros(n_grades - 2)
+    past, past_t = np.full(size, 1e-10), np.full(n_grades - 1, 1e-10)
     n = max(len(grades), 1)
     used = np.unique(cols)
     for _ in range(rounds if len(grades) else 0):
@@ -121,7 +105,7 @@ def fit_ordinal(grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, values:
         p = np.maximum(tails[at, grades] - tails[at, grades + 1], 1e-9)
         slope = np.hstack([np.zeros((len(grades), 1)), above * (1 - above), np.zeros((len(grades), 1))])
         d_s = (slope[at, grades] - slope[at, grades + 1]) / p / n
-        grad = np.bincount(cols, d_s[rows] * values, SPACE) - 1e-6 * w
+        grad = np.bincount(cols, d_s[rows] * values, size) - 1e-6 * w
         past[used] += grad[used] ** 2
         w[used] += 0.2 * grad[used] / np.sqrt(past[used])
         d_t = np.zeros(n_grades + 1)
@@ -170,9 +154,11 @@ def _grader(weights: np.ndarray, thresholds: np.ndarray, select_from: int):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(weights, thresholds)
         for batch in parts:
-            tails = model.tails(np.array([model.score(x) for x in batch.column(1).to_pylist()], float))
-            columns = [batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, select_from - 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail"])
+            for first in range(0, batch.num_rows, 1024):
+                some = batch.slice(first, 1024)
+                tails = model.tails(model.scores(some.column(1).to_pylist()))
+                columns = [some.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, select_from - 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail"])
 
     return batches
 

@@ -8,8 +8,9 @@ stays; a character that no piece of its own covers costs the smallest score less
 10 and is counted by its bytes if the vocabulary has them, or else
 runs of such characters count once.
 
-If no piece reaches over a blank or a line feed and all scores are whole numbers,
-texts may be cut there without any change in a sum or a tie; then each task
+Where no piece of the vocabulary holds the two characters on both sides, texts may
+be cut without any change in a sum, if all scores are whole numbers. `Counter` checks this for
+the places before blanks, at line feeds, and between a letter and `SIGNS`, and then each worker
 remembers the counts of the last `REMEMBERED` words.
 
 Defined cases: NULL and empty texts have no tokens. Repeated rows each get a row.
@@ -30,7 +31,9 @@ from kartei.plans.storage import ship_package
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Signs that may be cut off the end of a word.
+SIGNS = ".,;:!?|%&*#$()"
 _WORDS = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
 
@@ -67,34 +70,42 @@ class Counter:
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.by_bytes = all(f"<0x{b:02X}>" in names for b in range(256))
-        self.separable = all(s == int(s) for _, s in pieces) and not any(
-            BLANK in piece.lstrip(BLANK) or ("\n" in piece and piece != "\n") for piece, _ in pieces
+        # whatever would be cut
+        self.separable = (
+            all(s == int(s) for _, s in pieces)
+            and all(len(_WORDS.findall(piece)) == 1 for piece in names - {""})
+            and not any(a.isalpha() and b in SIGNS for piece in names for a, b in zip(piece, piece[1:]))
         )
-        self.of_word = lru_cache(maxsize=REMEMBERED)(self.best)
+        self.of_bare = lru_cache(maxsize=REMEMBERED // 2)(lambda word: self.best(word)[0])
+        self.of_word = lru_cache(maxsize=REMEMBERED // 2)(self.word)
 
     def best(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path through a normalised text."""
         size = len(text)
         scores, counts, unknown = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        now, best, begin, alone = 0, None, 0, False  # what is known of the paths that end after `now`
+        # of the paths that end after `now`: the best score, where its last piece begins, and if a piece covers the character alone
+        now, best, begin, alone = 0, None, 0, False
 
         def close(end: int) -> None:
-            if not alone:
-                candidate = self.unknown + scores[end]
-                if best is None or candidate > best:
-                    more = len(text[end].encode("utf-8", "replace")) if self.by_bytes else int(not unknown[end])
-                    scores[end + 1], counts[end + 1], unknown[end + 1] = candidate, counts[end] + more, True
-                    return
-            scores[end + 1], counts[end + 1] = best, counts[begin] + 1
+            candidate = self.unknown + scores[end]
+            if not alone and (best is None or candidate > best):
+                more = len(text[end].encode("utf-8", "replace")) if self.by_bytes else int(not unknown[end])
+                scores[end + 1], counts[end + 1], unknown[end + 1] = candidate, counts[end] + more, True
+            else:
+                scores[end + 1], counts[end + 1] = best, counts[begin] + 1
 
         # by ends, and the longest piece of each end first
         for end, (length, score) in self.automaton.iter(text):
-            while now < end:
-                close(now)
+            while now != end:
+                if alone:
+                    scores[now + 1], counts[now + 1] = best, counts[begin] + 1
+                else:
+                    close(now)
                 now, best, alone = now + 1, None, False
-            candidate = score + scores[end + 1 - length]
+            first = end + 1 - length
+            candidate = score + scores[first]
             if best is None or candidate > best:
-                best, begin = candidate, end + 1 - length
+                best, begin = candidate, first
             if length == 1:
                 alone = True
         while now < size:
@@ -102,17 +113,29 @@ class Counter:
             now, best, alone = now + 1, None, False
         return counts[size], scores[size]
 
+    def word(self, word: str) -> int:
+        """The pieces of a word; signs at its end are counted by themselves."""
+        bare = word.rstrip(SIGNS)
+        if bare != word and bare and bare[-1].isalpha():
+            return self.of_bare(bare) + self.of_bare(word[len(bare) :])
+        return self.of_bare(word)
+
     def count(self, text: str | None) -> int:
         given = normalized(text or "")
         if not (self.separable and self.by_bytes):  # without bytes a run of unknown characters may reach over a cut
             return self.best(given)[0]
-        of_word = self.of_word
-        return sum([of_word(w)[0] for w in _WORDS.findall(given)])
+        return sum(map(self.of_word, _WORDS.findall(given)))
+
+
+@lru_cache(maxsize=1)
+def counter_of(vocabulary: str) -> Counter:
+    """One for each Python worker, with what it remembers."""
+    return Counter(pieces_of(vocabulary))
 
 
 def _counting(vocabulary: str):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(pieces_of(vocabulary))
+        counter = counter_of(vocabulary)
         for batch in parts:
             counts = [counter.count(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])

@@ -11,7 +11,8 @@ logistic regression over words whose share of toxic documents is unusual, learne
 from at most `LABELLED` labelled rows. What reaches the driver is bounded: 21,952
 trigram counts, at most `FEATURES` words, and their places in the sample.
 
-Each task remembers what it has made of at most `REMEMBERED` different tokens.
+Each task remembers what it has made of at most `REMEMBERED` disguised tokens. Words count
+by their first letters too, as endings vary.
 
 Defined cases: NULL and empty texts have no words and the score of a text without
 any known word. Labels that are NULL, or without a document, teach nothing; with no
@@ -23,7 +24,6 @@ get the same score. Other columns are carried along by `toxicity` and never look
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -43,19 +43,31 @@ SYMBOLS = 28
 # Letters that a sign may stand for.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
 }
 #: Signs that may stand between the letters of one word.
-BETWEEN = ".-_*~'`·"
+BETWEEN = ".-_*~'`"
 # Costs of the channel, as negative logarithms.
 COST_SIGN, COST_BETWEEN, COST_REPEAT = 2.0, 1.0, 1.0
 
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
-_PARTS = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"(.)\1\1")
-_DISGUISED = re.compile(r"[^\W\d_]['`·~*.\-_]*[0-9@$!|+(€£¡]|[0-9@$!|+(€£¡]['`·~*.\-_]*[^\W\d_]")
-_DOTTED = re.compile(r"(?:[^\W_][.\-_*~'`·]){2,}[^\W_]")
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$|+(") + "“”„«»…"
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$|+(")
+#: Longer tokens are no disguised words.
+LONGEST = 40
+
+
+def _kinds() -> tuple[np.ndarray, bytes]:
+    """(kind of each byte, table that lowers A-Z and blanks all but letters)."""
+    kind, lowered = np.zeros(256, np.uint8), np.full(256, 0x20, np.uint8)
+    for c in range(256):
+        letter = c >= 0x80 or chr(c).isalpha()
+        kind[c] = _LETTER if letter else _DIGIT if chr(c).isdigit() else _SIGN if chr(c) in SIGNS else _GAP if chr(c) in BETWEEN else 0
+        lowered[c] = (c | 0x20 if c < 0x80 else c) if letter else 0x20
+    kind[[9, 10, 11, 12, 13, 32]] = _BLANK
+    return kind, lowered.tobytes()
+
+
+_LETTER, _DIGIT, _SIGN, _GAP, _BLANK = 1, 2, 3, 4, 5
+_KIND, _LOWERED = _kinds()
 
 
 def _symbol_table() -> np.ndarray:
@@ -134,36 +146,60 @@ def restore(token: str, model: np.ndarray) -> str:
     return min(ends)[1]
 
 
-def token_words(token: str, model: np.ndarray) -> tuple[str, ...]:
-    """The words of a token between blanks, and the restored one if it looks disguised.
-
-    Tokens longer than 40 characters are no single words: only their parts count.
-    """
-    low = token.lower()
-    found = _PARTS.findall(low)
-    if len(low) <= 40:
-        bare = low.strip(_EDGES)
-        if _RUN.search(bare) and bare.isalpha() or _DISGUISED.search(bare) or _DOTTED.fullmatch(bare):
-            found.append(restore(bare, model))
-    return tuple(dict.fromkeys(found))
-
-
-def text_words(text: str | None, words_of: Callable[[str], tuple[str, ...]], model: np.ndarray) -> set[str]:
-    """The different words of a text; letters spaced out are one word more."""
+def disguised(data: bytes) -> set[str]:
+    """The tokens of a UTF-8 text that may be disguised words, and runs of letters with single blanks between."""
+    raw = np.frombuffer(b" " + data + b"     ", np.uint8)
+    kind = _KIND[raw]
+    letter, blank = kind == _LETTER, kind == _BLANK
+    plain = letter | (kind == _DIGIT)
+    now, after = kind[:-5], kind[1:-4]
+    stands = (now == _DIGIT) | (now == _SIGN)
+    # a sign before a letter, or a digit or one of @$ after one
+    marked = stands & letter[1:-4] | letter[:-5] & ((after == _DIGIT) | (raw[1:-4] == 0x40) | (raw[1:-4] == 0x24))
+    # a letter three times, of one byte or of two
+    same = raw[:-5] == raw[1:-4]
+    marked[:-1] |= same[:-1] & same[1:] & letter[:-6]
+    twice = raw[:-5] == raw[2:-3]
+    marked[:-3] |= twice[:-3] & twice[1:-2] & twice[2:-1] & twice[3:] & (raw[:-8] >= 0xC0)
+    # letters one by one: x.x.x
+    gap = kind == _GAP
+    marked[1:] |= ~plain[:-6] & plain[1:-5] & gap[2:-4] & plain[3:-3] & gap[4:-2] & plain[5:-1]
+    # spaced out: blank x blank x blank x
+    spaced = blank[:-5] & plain[1:-4] & (raw[2:-3] == 0x20) & plain[3:-2] & (raw[4:-1] == 0x20) & plain[5:]
+    found = set()
+    if marked.any():
+        blanks = np.flatnonzero(blank)
+        token = np.unique(np.searchsorted(blanks, np.flatnonzero(marked), "right"))
+        ends = np.minimum(token, len(blanks) - 1)
+        for begin, end in zip(blanks[token - 1].tolist(), blanks[ends].tolist()):
+            if end - begin <= 2 * LONGEST:
+                found.add(data[begin : end - 1].decode("utf-8", "replace").strip(_EDGES).lower())
+    if spaced.any():
+        done = 0
+        for begin in np.flatnonzero(spaced).tolist():
+            if begin >= done:
+                at = done = begin + 1
+                while plain[at] and not plain[at + 1]:
+                    done = at
+                    if raw[at + 1] != 0x20:
+                        break
+                    at += 2
+                found.add(data[begin:done:2].decode("utf-8", "replace").lower())
+    return {x for x in found if 0 < len(x) <= LONGEST}
+
+
+def text_words(text: str | None, restored: Callable[[str], str]) -> set[bytes]:
+    """The different words of a text, with those behind disguised ones, and their beginnings of 4 and 5 bytes."""
     if not text:
         return set()
-    out: set[str] = set()
-    for token in set(text.split()):
-        out.update(words_of(token))
-    for spaced in _SPACED.findall(text):
-        letters = spaced.replace(" ", "")
-        if len(letters) <= 40:
-            out.add(restore(letters, model))
-    return out
+    data = text.encode("utf-8", "replace")
+    words = set(data.translate(_LOWERED).split())
+    words.update([restored(x).encode("utf-8", "replace") for x in disguised(data)])
+    return words | {w[:4] + b"-" for w in words if len(w) > 4} | {w[:5] + b"-" for w in words if len(w) > 5}
 
 
-def _remembering(model: np.ndarray) -> Callable[[str], tuple[str, ...]]:
-    return lru_cache(maxsize=REMEMBERED)(lambda token: token_words(token, model))
+def _remembering(model: np.ndarray) -> Callable[[str], str]:
+    return lru_cache(maxsize=REMEMBERED)(lambda token: restore(token, model))
 
 
 def labelled_rows(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -175,23 +211,23 @@ def labelled_rows(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 def _words_of_rows(model: np.ndarray):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = _remembering(model)
+        restored = _remembering(model)
         for batch in parts:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                words = [sorted(text_words(x, words_of, model)) for x in some.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+                words = [sorted(text_words(x, restored)) for x in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(words, pa.list_(pa.binary()))], ["doc_id", "toxic", "words"])
 
     return batches
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, learns: Column | None = None, most: int = LABELLED) -> tuple[float, dict[str, float]]:
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, learns: Column | None = None, most: int = LABELLED) -> tuple[float, dict[bytes, float]]:
     """(bias, weight of each word). learns: which doc_id may teach."""
     chosen = labelled_rows(labels if learns is None else labels.filter(learns), most)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most `most` rows of 12 bytes
     sample = slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    sample = written(sample.mapInArrow(_words_of_rows(model), "doc_id long, toxic int, words array<string>"), "toxic-words")
+    sample = written(sample.mapInArrow(_words_of_rows(model), "doc_id long, toxic int, words array<binary>"), "toxic-words")
     kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = kinds.get(1, 0), kinds.get(0, 0)
     if not bad or not good:
@@ -202,8 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, learns: Column |
     odds = F.log((F.col("in_bad") + 0.5) / (bad + 1)) - F.log((F.col("in_good") + 0.5) / (good + 1))
     gain = F.col("in_bad") * odds
     top = in_kind.filter((F.col("in_bad") >= 2) & (odds > 1)).orderBy(gain.desc(), "word").limit(FEATURES).select("word")
-    words = sorted(r.word for r in top.collect())
-    place = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(words)), "place int, word string"))
+    words = sorted(bytes(r.word) for r in top.collect())
+    place = F.broadcast(docs.sparkSession.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "place int, word binary"))
     found = sample.select("doc_id", "toxic", F.explode_outer("words").alias("word")).join(place, "word", "left")
     found = found.groupBy("doc_id", "toxic").agg(F.sort_array(F.collect_set("place")).alias("places")).orderBy("doc_id").collect()
     y = np.array([r.toxic for r in found], float)
@@ -228,20 +264,14 @@ def _regression(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int, round
     return float(bias), w
 
 
-def _scorer(model: np.ndarray, bias: float, weights: dict[str, float]):
+def _scorer(model: np.ndarray, bias: float, weights: dict[bytes, float]):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=REMEMBERED)
-        def known(token: str) -> tuple[str, ...] | None:
-            return tuple(w for w in token_words(token, model) if w in weights) or None
-
-        def of_token(token: str) -> tuple[str, ...]:
-            return known(token) or ()
-
+        restored, known = _remembering(model), frozenset(weights)
         for batch in parts:
             scores = []
             for text in batch.column("_toxic_text").to_pylist():
-                words = text_words(text, of_token, model)
-                scores.append(1 / (1 + math.exp(-max(-40.0, min(40.0, bias + sum(sorted(weights[w] for w in words if w in weights)))))))
+                total = bias + sum(sorted(weights[w] for w in known & text_words(text, restored)))
+                scores.append(1 / (1 + math.exp(-max(-40.0, min(40.0, total)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "_toxic_score"])
 
     return batches
