@@ -6,7 +6,8 @@ bits from each. Emitting all variants within 2 bits of a 64-bit fingerprint is
 4 bits apart, one 32-bit half is at most 2 bits apart, and then both halves have a
 variant within 1 bit in common. So each half emits its 33 variants: 66 rows for
 each different fingerprint, and no link is lost. Rows are shuffled on the variant,
-fingerprints that meet are paired once and verified on all 64 bits.
+fingerprints that meet are verified on all 64 bits and paired once, in the one variant
+that speaks for all they share.
 
 Copies cost nothing: only different fingerprints are hashed. A variant that more
 than `CROWDED` fingerprints share would give too many pairs. Those fingerprints
@@ -94,6 +95,24 @@ def _variants(bits: Column) -> Column:
     return F.concat(F.transform(flips, lambda m: low.bitwiseXOR(m)), F.transform(flips, lambda m: high.bitwiseXOR(m).bitwiseOR(tag)))
 
 
+def _meets_here() -> Column:
+    """Whether a and b are linked and this variant is the one of all they share that speaks for them.
+
+    Of the halves it is the low one if that is at most 2 bits apart. Equal halves share
+    33 variants, and the half itself speaks; others share two, and the smaller speaks:
+    the other one is the variant with the bits in which the halves differ turned over.
+    """
+    apart, variant = F.col("a").bitwiseXOR(F.col("b")), F.col("variant")
+    low, high = apart.bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned(apart, HALF)
+    is_high = F.shiftright(variant, HALF) == 1
+    by_high = F.bit_count(low) > RADIUS // 2
+    differ = F.when(by_high, high).otherwise(low)
+    own = F.when(by_high, F.shiftrightunsigned(F.col("a"), HALF)).otherwise(F.col("a").bitwiseAND(F.lit((1 << HALF) - 1)))
+    here = variant.bitwiseAND(F.lit((1 << HALF) - 1))
+    speaks = F.when(differ == 0, here == own).otherwise(here < here.bitwiseXOR(differ))
+    return (F.bit_count(apart) <= RADIUS) & (is_high == by_high) & speaks
+
+
 def links(different: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """a, b: verified links between different fingerprints; every linked pair is connected by them."""
     emitted = different.select("bits", F.explode_outer(_variants(F.col("bits"))).alias("variant"))
@@ -101,8 +120,7 @@ def links(different: DataFrame, crowded: int = CROWDED) -> DataFrame:
     met = written(emitted.join(met, "variant"), "variants")
     sparse = met.filter(F.col("n") <= crowded).select("variant", "bits")
     left, right = sparse.withColumnRenamed("bits", "a"), sparse.withColumnRenamed("bits", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = left.join(right, "variant").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = left.join(right, "variant").filter((F.col("a") < F.col("b")) & _meets_here()).select("a", "b")
     dense = met.filter(F.col("n") > crowded).select("bits").distinct()
     masks = F.array(*(F.lit(m).cast("long") for m in _ball(64, RADIUS // 2)))
     points = dense.select("bits", F.explode_outer(F.transform(masks, lambda m: F.col("bits").bitwiseXOR(m))).alias("point"))
