@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.words import KEY, folded, with_key
+from kartei.plans.storage import written
 
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Lines with shorter keys are never dropped.
@@ -63,7 +64,8 @@ def _held(keyed: DataFrame, least_length: int) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """Every row of docs with its other columns: text without repeated lines, n_lines before, n_dropped."""
     keyed = with_key(docs)
-    twice = repeated_lines(docs, least_length, least_documents)
+    # stored, so that the join below shuffles both sides and a line of very many documents can be split
+    twice = written(repeated_lines(docs, least_length, least_documents), "repeated-lines")
     held = _held(keyed, least_length).filter("doc_id IS NOT NULL")
     gone = (
         held.join(twice, ["h1", "h2"])
