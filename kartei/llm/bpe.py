@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartei.plans.storage import ship_package
+from kartei.llm.tasks import ready
 
 #: One cut in so many bytes, on average.
 CHUNK = 1024
@@ -190,7 +190,7 @@ def _sketches(chunk: int):
 
 def _together(docs: DataFrame, chunk: int) -> DataFrame:
     """doc_id and text, with copies close to each other."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = slim.mapInArrow(_sketches(chunk), "doc_id long, text string, sketch long")
     # texts without a cut are short, and dealt out by themselves

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartei.plans.storage import ship_package, written
+from kartei.llm.tasks import ready
+from kartei.plans.storage import written
 
 GRAM = 4
 SLOTS = 1 << 20
@@ -144,7 +145,7 @@ class Filter:
 
 def learn(docs: DataFrame, learns: Column) -> Filter:
     """The filter of all rows that may teach and have a text and a language."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     taught = docs.filter(learns & F.col("text").isNotNull() & F.col("lang").isNotNull())
     taught = taught.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = taught.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kartei.plans.storage import ship_package, written
+from kartei.llm.tasks import ready
+from kartei.plans.storage import written
 
 SAMPLE = 8_192
 CELLS = 256
@@ -231,7 +232,7 @@ def _k_smallest_ids(vectors: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest products of each query (vec_id, v) among other ids of vectors (vec_id, v)."""
     spark = vectors.sparkSession
-    ship_package(spark)
+    ready(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = written(vectors, "vectors")
     about = vectors.select(F.size("v").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).alias("s"))

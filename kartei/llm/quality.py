@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.language import blocks
-from kartei.plans.storage import ship_package
+from kartei.llm.tasks import ready
 
 LABELLED = 8_000
 MOST_FEATURES = 256
@@ -170,7 +170,7 @@ def held_out(doc_id: Column) -> Column:
 
 def quality_grades(docs: DataFrame, labels: DataFrame, select_from: int = 1, most: int = LABELLED) -> DataFrame:
     """doc_id, held_out, expected_grade (0 to 2), tail (P(grade >= select_from)), selected (tail >= 0.5)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     model = learn(docs, ratings(labels).filter(~held_out(F.col("doc_id"))), most)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     graded = slim.mapInArrow(_grader(model.weights, model.thresholds, select_from), "doc_id long, expected_grade double, tail double")

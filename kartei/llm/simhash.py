@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kartei.llm.graph import components
-from kartei.plans.storage import ship_package, written
+from kartei.llm.tasks import ready
+from kartei.plans.storage import written
 
 SHINGLE = 4
 SEED = 42
@@ -75,7 +76,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and bits (the fingerprint as a signed long) for each row of docs."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     return slim.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, bits long")
 

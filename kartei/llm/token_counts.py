@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartei.plans.storage import ship_package
+from kartei.llm.tasks import ready
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -145,6 +145,6 @@ def _counting(vocabulary: str):
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id and n_tokens for each row of docs."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_counting(vocabulary or default_vocabulary()), "doc_id long, n_tokens long")

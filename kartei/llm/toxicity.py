@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartei.plans.storage import ship_package, written
+from kartei.llm.tasks import ready
+from kartei.plans.storage import written
 
 LABELLED = 20_000
 FEATURES = 8_192
@@ -90,7 +91,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(third symbol | first two), counted over all texts; shape (28, 28, 28)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     counts = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     counts = counts.mapInArrow(_count_trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
     table = np.zeros(SYMBOLS**3)
