@@ -38,6 +38,11 @@ def _at_length(length: int) -> str:
     return f"runs_{length}"
 
 
+def _runs(length: int) -> Column:
+    """Hashes of so many words; with other seeds than the grams', so that lengths never meet."""
+    return F.transform("hashes", lambda x, i: F.xxhash64(F.lit(-length), x, *(F.get(F.col("hashes"), i + j) for j in range(1, length))))
+
+
 def _with_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
     """Adds words, n_words and for each length the fingerprint of the window that starts at each word."""
     out = texts.withColumn("words", words(F.col("text"))).drop("text")
@@ -52,12 +57,8 @@ def _with_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
     minima = F.slice(F.transform("grams", smallest), F.lit(1), F.greatest(F.size("grams") - (width - 1), F.lit(0)))
     out = out.withColumn(_at_length(WINDOW), minima)
     for length in lengths:
-        # other seeds than the grams': the lengths never meet
-        runs = F.transform(
-            "hashes",
-            lambda x, i, length=length: F.xxhash64(F.lit(-length), x, *(F.get(F.col("hashes"), i + j) for j in range(1, length))),
-        )
-        out = out.withColumn(_at_length(length), F.slice(runs, F.lit(1), F.greatest(F.size("hashes") - (length - 1), F.lit(0))))
+        runs = F.slice(_runs(length), F.lit(1), F.greatest(F.size("hashes") - (length - 1), F.lit(0)))
+        out = out.withColumn(_at_length(length), runs)
     return out.drop("hashes", "grams")
 
 

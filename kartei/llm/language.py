@@ -79,7 +79,11 @@ def _grams(parts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pad = b" " * GRAM
     raw = table[np.frombuffer(pad.join(parts) + pad, np.uint8)]
     starts = np.cumsum([0] + [len(x) + GRAM for x in parts[:-1]])
-    return starts, np.ndarray((len(raw) - GRAM + 1,), np.dtype("<u4"), raw, 0, (1,)).copy()
+    grams = np.ndarray((len(raw) - GRAM + 1,), np.dtype("<u4"), raw, 0, (1,)).copy()
+    # n-grams that begin between two texts belong to neither
+    between = (starts + [len(x) for x in parts])[:, None] + np.arange(GRAM)
+    grams[between[between < len(grams)]] = _BLANKS
+    return starts, grams
 
 
 def slot_numbers(grams: np.ndarray) -> list[np.ndarray]:

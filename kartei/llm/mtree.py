@@ -173,7 +173,8 @@ def search_block(pages: pd.DataFrame, queries: np.ndarray, bounds: np.ndarray, p
     while len(active):
         # each query opens its most promising page; queries of one page are multiplied together
         page = low[active].argmin(axis=1)
-        going = low[active, page] <= kth[active] + space.slack
+        nearest = low[active, page]
+        going = np.isfinite(nearest) & (nearest <= kth[active] + space.slack)
         active, page = active[going], page[going]
         order = np.argsort(page, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(page[order])) + 1) if len(order) else []:
