@@ -269,7 +269,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double")
     bounded = own.select("q", "v", F.col("cell").alias("own_cell"), F.col("slice").alias("own_slice")).join(kth, "q", "left")
     reach = F.sqrt(F.greatest(square + F.lit(space.square) - 2 * F.col("worst"), F.lit(0.0)))
-    bounded = bounded.select("q", "v", F.coalesce(reach, F.lit(float("inf"))).alias("bound"), "own_cell", "own_slice")
+    bounded = bounded.select("q", "v", F.when(F.col("worst").isNull(), float("inf")).otherwise(reach).alias("bound"), "own_cell", "own_slice")
     visits = bounded.mapInArrow(_cells_of(pivots, radii, space), "q long, v array<long>, bound double, own_cell int, own_slice int, cell int")
     visits = visits.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     visits = visits.filter((F.col("cell") != F.col("own_cell")) | (F.col("slice") != F.col("own_slice"))).select("q", "v", "bound", "cell", "slice")
