@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartei.functions import judging, scheduling, text
 from kartei.operators import cards as card_ops
 from kartei.operators import corpus, history, queue, replay, stats
 from kartei.plans.storage import new_folder
 from kartei.sources import lines, sinks
-from kartei.sources.schemas import HISTORY
+from kartei.sources.schemas import GUESSES, HISTORY
 from kartei.sources.study import Study, study_of
 from kartei.streaming import guesses as streams
 from kartei.streaming import tables
+from kartei.streaming.refold import Refold
 
 # Moments the queries are asked for; the events cover 2024-01-01 to 2024-01-30.
 AS_OF = "2024-01-30 23:59:59"
@@ -535,39 +537,51 @@ def _run(s: Study, name: str, stream: DataFrame, mode: str = "update") -> DataFr
     return tables.read_batches(s.spark, out, stream)
 
 
+def _guess_stream(s: Study) -> DataFrame:
+    """All guesses in several micro-batches of mixed times."""
+    return _in_parts(s, s.guess_path, GUESSES)
+
+
+def _history_stream(s: Study) -> DataFrame:
+    return _in_parts(s, s.history_path, HISTORY)
+
+
+def _in_parts(s: Study, path: str, schema: T.StructType, parts: int = 4) -> DataFrame:
+    files = len(s.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).inputFiles())
+    return streams.read_guesses(s.spark, path, schema, recursive=True, max_files=-(-files // parts) or 1)
+
+
 @query
 def stream_judge(s: Study) -> DataFrame:
-    judged = streams.stream_judge(streams.read_guesses(s.spark, s.guess_path), s.cards)
+    judged = streams.stream_judge(_guess_stream(s), s.cards)
     return _run(s, "stream-judge", judged.select("event_id", "ratio", "grade", "correct"), "append").drop(tables.BATCH)
 
 
-@query
-def stream_drop(s: Study) -> DataFrame:
-    judged = streams.stream_judge(streams.read_guesses(s.spark, s.guess_path), s.cards)
-    flags = _run(s, "stream-drop", streams.stream_drop(judged))
-    return flags.select("user_id", "deck_id", "event_id", "drop_action")
+def _refolded(s: Study, name: str, make: Callable[[str, DataFrame], Refold], stream: DataFrame) -> DataFrame:
+    out, checkpoint = _stream_folders(s, name)
+    refold = make(out, s.cards)
+    refold.run(stream, checkpoint)
+    return refold.results()
 
 
-def _history_stream(s: Study) -> DataFrame:
-    stream = streams.read_guesses(s.spark, s.history_path, HISTORY, recursive=True)
-    return streams.stream_judge(stream, s.cards)
+@query
+def stream_drop(s: Study) -> DataFrame:
+    return _refolded(s, "stream-drop", streams.drop_flags, _guess_stream(s))
 
 
 @query
 def stream_sm2(s: Study) -> DataFrame:
-    states = _run(s, "stream-sm2", streams.stream_sm2(_history_stream(s)))
-    return streams.status_of_stream(tables.latest(states, history.CARD))
+    return _refolded(s, "stream-sm2", streams.card_states, _history_stream(s))
 
 
 @query
 def stream_daily_progress(s: Study) -> DataFrame:
-    progress = _run(s, "stream-progress", streams.stream_daily_progress(_history_stream(s)))
-    return tables.latest(progress, [*history.DECK, "day"])
+    return _refolded(s, "stream-progress", streams.daily_progress, streams.with_day(_history_stream(s)))
 
 
 def _guess_loop(s: Study) -> tables.GuessLoop:
     """The whole loop over all guesses; every card in play has a deck row."""
-    known = replay.card_status(_split_graded(s)).select(*history.CARD)
+    known = s.history.select(*history.CARD).distinct()
     fresh = known.select(
         *history.CARD,
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("date_ready"),
@@ -577,7 +591,7 @@ def _guess_loop(s: Study) -> tables.GuessLoop:
     )
     out, checkpoint = _stream_folders(s, "stream-history")
     loop = tables.GuessLoop(s.spark, s.cards, fresh.unionByName(s.unseen), out)
-    loop.run(streams.read_guesses(s.spark, s.guess_path), checkpoint)
+    loop.run(_guess_stream(s), checkpoint)
     return loop
 
 

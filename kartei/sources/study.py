@@ -71,6 +71,9 @@ def guess_of(event_type: Column, answer: Column) -> Column:
         .otherwise(F.lit("xx"))
     )
 
+#: Folders of stored guesses, so that a stream can take them in several micro-batches.
+GUESS_PARTS = 4
+
 
 class Study:
     """The study tables of one folder of given tables."""
@@ -161,9 +164,10 @@ class Study:
 
     @cached_property
     def guess_path(self) -> str:
-        """The guesses stored as files, for streams to read."""
+        """The guesses stored as files of mixed times, for streams to read: some for each part."""
         path = new_folder(self.spark, f"{self.source}-guesses")
-        self.guesses.hint("rebalance").write.parquet(path)
+        parts = self.guesses.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(GUESS_PARTS)))
+        parts.hint("rebalance", "part").write.partitionBy("part").parquet(path)
         return path
 
     @cached_property

@@ -1,44 +1,32 @@
-"""Guess streams: source, judging, stateful replay and drop flags, daily progress.
+"""Guess streams: source, judging, and what follows from ordered histories.
 
-A micro-batch is bounded by ``maxBytesPerTrigger`` at the source, and with it
-the rows any one key can bring into a stateful task.
+Judging is stateless. Drop flags, card states and daily progress are folded again from
+the stored history of the keys a micro-batch touches, so late guesses count like others.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kartei.functions.judging import quality, with_ratio
-from kartei.functions.scheduling import (
-    FIRST_EASE,
-    FIRST_INTERVAL,
-    LEARNED_AT,
-    LEAST_EASE,
-    add_seconds,
-    due_delay,
-)
 from kartei.operators.cards import answers
-from kartei.operators.history import CARD, DECK
+from kartei.operators.history import CARD, DECK, derive_drop, judged_actions, split_history
+from kartei.operators.replay import card_status, graded_actions, split_graded
 from kartei.plans.chunks import fits_broadcast
 from kartei.sources.schemas import GUESSES
-
-_LARGEST = (1 << 63) - 1
+from kartei.streaming.refold import Refold
 
 
 def read_guesses(
-    spark: SparkSession, path: str, schema: T.StructType = GUESSES, max_bytes: int = 4 << 30, recursive: bool = False
+    spark: SparkSession, path: str, schema: T.StructType = GUESSES, max_bytes: int = 4 << 30, recursive: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    """A stream over the files of a folder, oldest first."""
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes))
-    return reader.option("recursiveFileLookup", str(recursive).lower()).parquet(path)
+    """A stream over the files of a folder, oldest first; micro-batches are bounded by bytes, or by files."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", str(recursive).lower())
+    if max_files is not None:
+        return reader.option("maxFilesPerTrigger", str(max_files)).parquet(path)
+    return reader.option("maxBytesPerTrigger", str(max_bytes)).parquet(path)
 
 
 def _join_static(stream: DataFrame, lookup: DataFrame, on: str, salts: int = 16) -> DataFrame:
@@ -59,166 +47,29 @@ def stream_judge(guesses: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-def _micros(moment: str) -> Column:
-    return F.unix_micros(F.col(moment).cast("timestamp"))
-
-
-def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarray]:
-    """The named columns of a group as arrays, sorted by (micros, event_id)."""
-    parts = [[batch[c].to_numpy() for c in columns] for batch in batches]
-    arrays = [np.concatenate(column) for column in zip(*parts, strict=True)]
-    order = np.lexsort((arrays[1], arrays[0]))
-    return [a[order] for a in arrays]
-
-
-def _late(micros: np.ndarray, ids: np.ndarray, last: tuple[int, int]) -> int:
-    """How many of the sorted rows come before the last one applied."""
-    start = int(np.searchsorted(micros, last[0], side="left"))
-    end = int(np.searchsorted(micros, last[0], side="right"))
-    return start + int(np.searchsorted(ids[start:end], last[1], side="right"))
-
-
-_NOTHING = (-(1 << 62), -1)
-
-DROP_OUTPUT = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("deck_id", T.LongType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("drop_action", T.IntegerType()),
-        T.StructField("is_late", T.BooleanType()),
-    ]
-)
-DROP_STATE = T.StructType(
-    [
-        T.StructField("micros", T.LongType()),
-        T.StructField("event_id", T.LongType()),
-        T.StructField("correct", T.BooleanType()),
-    ]
-)
-
-
-def _drop_group(key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
-    micros, ids, correct = _in_order(batches, ["micros", "event_id", "correct"])
-    last_micros, last_id, last_correct = memory.get if memory.exists else (*_NOTHING, True)
-    late = _late(micros, ids, (last_micros, last_id))
-    correct = correct.astype(bool)
-    previous = np.concatenate([[last_correct], correct[late:-1]])[: len(correct) - late]
-    dropped = np.zeros(len(ids), dtype="int32")
-    dropped[late:] = correct[late:] & ~previous.astype(bool)
-    if late < len(ids):
-        memory.update((int(micros[-1]), int(ids[-1]), bool(correct[-1])))
-    yield pd.DataFrame(
-        {
-            "user_id": key[0],
-            "deck_id": key[1],
-            "event_id": ids,
-            "drop_action": dropped,
-            "is_late": np.arange(len(ids)) < late,
-        }
-    )
+def drop_flags(folder: str, cards: DataFrame) -> Refold:
+    """The drop flag of each guess, from the verdict on the guess before it."""
 
+    def result(guesses: DataFrame) -> DataFrame:
+        return derive_drop(split_history(judged_actions(guesses, cards))).select(*DECK, "event_id", "drop_action")
 
-def stream_drop(judged: DataFrame) -> DataFrame:
-    """The drop flag of each guess, from the verdict on the guess before it.
+    return Refold(cards.sparkSession, folder, DECK, result)
 
-    A guess older than the last one of its deck is marked late and not dropped.
-    """
-    rows = judged.select(*DECK, "event_id", _micros("created_at").alias("micros"), "correct")
-    return rows.groupBy(*DECK).applyInPandasWithState(
-        _drop_group, DROP_OUTPUT, DROP_STATE, "update", GroupStateTimeout.NoTimeout
-    )
 
+def card_states(folder: str, cards: DataFrame) -> Refold:
+    """Deck rows of all cards with actions."""
+    return Refold(cards.sparkSession, folder, CARD, lambda actions: card_status(split_graded(graded_actions(actions, cards))))
 
-REPLAY_STATE = T.StructType(
-    [
-        T.StructField("ease_factor", T.DoubleType()),
-        T.StructField("interval", T.LongType()),
-        T.StructField("is_learned", T.BooleanType()),
-        T.StructField("progress", T.IntegerType()),
-        T.StructField("times_seen", T.LongType()),
-        T.StructField("micros", T.LongType()),
-        T.StructField("event_id", T.LongType()),
-    ]
-)
-REPLAY_OUTPUT = T.StructType(
-    [
-        T.StructField("user_id", T.LongType()),
-        T.StructField("deck_id", T.LongType()),
-        T.StructField("card_id", T.LongType()),
-        *REPLAY_STATE.fields,
-        T.StructField("late_actions", T.LongType()),
-    ]
-)
-
-
-def next_state(state: tuple, grade: int) -> tuple:
-    """One graded answer: (ease, interval, learned, progress, seen)."""
-    ease, interval, learned, progress, seen = state
-    if learned:
-        return state
-    moved = ease - 0.8 + 0.28 * grade - 0.02 * grade * grade
-    moved = max(int(moved * 100) / 100, LEAST_EASE)
-    if grade == 5:
-        progress = progress + 1 if progress < LEARNED_AT else 0
-    seen += 1
-    if seen == 1:
-        ease, interval = moved, FIRST_INTERVAL
-    elif grade >= 4:
-        factor = moved - (0.8 if grade == 5 else 1.3)
-        ease, interval = moved, min(math.ceil(float(interval) * factor), _LARGEST)
-    else:
-        interval = 1
-    return ease, interval, grade == 5 and progress >= LEARNED_AT, progress, seen
-
-
-def _replay_group(key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
-    micros, ids, grades, drops = _in_order(batches, ["micros", "event_id", "grade", "drop_action"])
-    stored = memory.get if memory.exists else (FIRST_EASE, 0, False, 0, 0, *_NOTHING)
-    state, last = tuple(stored[:5]), (stored[5], stored[6])
-    late = _late(micros, ids, last)
-    for grade in grades[late:][drops[late:] == 0]:
-        if state[2]:
-            break
-        state = next_state(state, int(grade))
-    if late < len(ids):
-        last = (int(micros[-1]), int(ids[-1]))
-    memory.update((*state, *last))
-    yield pd.DataFrame([(*key, *state, *last, late)], columns=REPLAY_OUTPUT.names)
-
-
-def stream_sm2(graded: DataFrame) -> DataFrame:
-    """The new state of every card a micro-batch touches; state is kept per (user, deck, card).
-
-    An action older than the last one applied is counted as late and left to the
-    batch replay.
-    """
-    kept = graded.select(*CARD, _micros("created_at").alias("micros"), "event_id", "grade", "drop_action")
-    return kept.groupBy(*CARD).applyInPandasWithState(
-        _replay_group, REPLAY_OUTPUT, REPLAY_STATE, "update", GroupStateTimeout.NoTimeout
-    )
 
+def daily_progress(folder: str, cards: DataFrame) -> Refold:
+    """Answers that count towards the goal, per user, deck and UTC day of the actions (with a column ``day``)."""
+    counts = (F.col("drop_action") == 1) | F.col("correct")
 
-def status_of_stream(states: DataFrame) -> DataFrame:
-    """Deck rows of the states that ``stream_sm2`` emits."""
-    last_at = F.timestamp_micros("micros").cast("timestamp_ntz")
-    return states.select(
-        *CARD,
-        add_seconds(last_at, due_delay(F.col("interval"))).alias("date_ready"),
-        F.col("is_learned").alias("card_learned"),
-        F.col("progress").alias("card_progress"),
-        F.col("times_seen").cast("int").alias("times_seen"),
-    )
+    def result(actions: DataFrame) -> DataFrame:
+        return judged_actions(actions, cards).groupBy(*DECK, "day").agg(F.sum(counts.cast("bigint")).alias("answered_today"))
 
+    return Refold(cards.sparkSession, folder, [*DECK, "day"], result)
 
-def stream_daily_progress(judged: DataFrame, late_by: str = "1 day") -> DataFrame:
-    """Answers that count towards the goal, per user, deck and UTC day, as they arrive."""
-    counts = (F.col("drop_action") == 1) | F.col("correct")
-    day = F.window("moment", "1 day")
-    return (
-        judged.withColumn("moment", F.col("created_at").cast("timestamp"))
-        .withWatermark("moment", late_by)
-        .groupBy(day, *DECK)
-        .agg(F.sum(counts.cast("bigint")).alias("answered_today"))
-        .select(*DECK, F.col("window.start").cast("date").alias("day"), "answered_today")
-    )
+
+def with_day(actions: DataFrame) -> DataFrame:
+    return actions.withColumn("day", F.to_date("created_at"))

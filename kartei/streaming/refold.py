@@ -1,0 +1,62 @@
+"""Results of whole histories, kept up to date by micro-batches in any order.
+
+A guess may arrive after later ones. What depends on order, drop flags and replayed
+states, is therefore never moved on in place: each micro-batch is appended to a stored
+history, and the histories of the keys it touches are read again and put through the
+batch operator, which splits hot keys. However a stream is cut, the last result of
+each key is that of the batch operator over all that has arrived.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BATCH = "batch"
+
+
+def newest(results: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each key from the last micro-batch that wrote any."""
+    last = results.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max(BATCH).alias("_last"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return results.join(last, [*same, F.col(BATCH) == F.col("_last")], "left_semi").drop(BATCH)
+
+
+@dataclass
+class Refold:
+    """``result`` of the whole history of every key, stored as one folder for each micro-batch.
+
+    A repeated micro-batch replaces its own folders and reads none that came later.
+    """
+
+    spark: SparkSession
+    folder: str
+    keys: list[str]
+    result: Callable[[DataFrame], DataFrame]
+
+    def _rows(self, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(f"{self.folder}/rows")
+
+    def process(self, batch: DataFrame, version: int) -> DataFrame:
+        """The results of the keys in the batch, as stored."""
+        batch.write.mode("overwrite").parquet(f"{self.folder}/rows/{BATCH}={version}")
+        known = self._rows(batch.schema).where(F.col(BATCH) <= version)
+        touched = known.where(F.col(BATCH) == version).select(*self.keys).distinct()
+        touched = touched.select(*(F.col(k).alias(f"_{k}") for k in self.keys))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys]
+        out = self.result(known.join(touched, same, "left_semi").drop(BATCH))
+        path = f"{self.folder}/results/{BATCH}={version}"
+        out.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(out.schema).parquet(path)
+
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        """Process all that is there."""
+        run = stream.writeStream.foreachBatch(lambda rows, n: self.process(rows, n) and None).option("checkpointLocation", checkpoint)
+        run.trigger(availableNow=True).start().awaitTermination()
+
+    def results(self) -> DataFrame:
+        return newest(self.spark.read.parquet(f"{self.folder}/results"), self.keys)

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kartei.operators.history import CARD, DECK, ORDER, derive_drop
-from kartei.operators.replay import graded_actions, sm2_incremental, split_graded, status_of
+from kartei.operators.replay import card_status, graded_actions, split_graded
 from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize, split_groups
 from kartei.sources.schemas import HISTORY
 from kartei.sources.sinks import deck_upsert, to_second
-
-BATCH = "batch"
+from kartei.streaming.refold import BATCH, Refold, newest
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
@@ -35,21 +34,14 @@ def read_batches(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def latest(batches: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row a stream wrote for each key."""
-    values = [c for c in batches.columns if c not in (*keys, BATCH)]
-    newest = F.max_by(F.struct(*values), BATCH).alias("_v")
-    return batches.groupBy(*keys).agg(newest).select(*keys, "_v.*")
-
-
 @dataclass
 class GuessLoop:
     """The whole loop from guess to deck table, one micro-batch at a time.
 
-    A micro-batch is judged, flagged, appended to the history and replayed on top
-    of the stored states with the batch operators, so hot keys are split here
-    too. Every table is written as one version per micro-batch; version n is made
-    from version n - 1 only, so a repeated micro-batch gives the same version.
+    A micro-batch is added to the stored guesses; the decks it touches are judged, flagged
+    and replayed again from all their guesses, late ones in their place, with the batch
+    operators, so hot keys are split here too. Only touched decks are written, and a
+    repeated micro-batch gives the same tables.
     """
 
     spark: SparkSession
@@ -58,55 +50,16 @@ class GuessLoop:
     folder: str
     size: ChunkSize = DEFAULT_SIZE
 
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.folder}/{table}/{BATCH}={version}"
-
-    def _write(self, rows: DataFrame, table: str, version: int) -> DataFrame:
-        path = self._path(table, version)
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def _previous(self, table: str, version: int) -> DataFrame | None:
-        return self.spark.read.parquet(self._path(table, version - 1)) if version > 0 else None
+    def _flags(self) -> Refold:
+        return Refold(self.spark, f"{self.folder}/history", DECK, self._flagged)
 
-    def _flagged(self, graded: DataFrame, last: DataFrame | None) -> DataFrame:
-        """Drop flags of a micro-batch; the last guess of each deck is put in front of it."""
-        rows = graded.withColumn("_remembered", F.lit(False))
-        if last is not None:
-            touched = last.join(graded.select(*DECK).distinct(), DECK, "left_semi")
-            rows = rows.unionByName(touched.withColumn("_remembered", F.lit(True)), allowMissingColumns=True)
-        flagged = derive_drop(split_groups(rows, DECK, ORDER, self.size))
-        return flagged.where(~F.col("_remembered")).drop("_remembered")
+    def _flagged(self, guesses: DataFrame) -> DataFrame:
+        graded = graded_actions(guesses, self.cards, size=self.size).withColumn("correct", F.col("ratio") == 1.0)
+        return derive_drop(split_groups(graded, DECK, ORDER, self.size)).select(*HISTORY.names, "grade")
 
     def process(self, batch: DataFrame, version: int) -> None:
-        batch = batch.withColumn("created_at", to_second(F.col("created_at")))
-        graded = graded_actions(batch, self.cards, size=self.size).withColumn("correct", F.col("ratio") == 1.0)
-        last = self._previous("last", version)
-        kept = [*HISTORY.names, "grade", "correct"]
-        written = self._write(self._flagged(graded, last).select(*kept), "history", version)
-
-        newest = written.select(*DECK, *ORDER, "correct")
-        if last is not None:
-            newest = newest.unionByName(last.select(*newest.columns))
-        moment = F.struct(*ORDER)
-        by_deck = newest.groupBy(*DECK).agg(F.max_by(F.struct(*ORDER, "correct"), moment).alias("_l"))
-        self._write(by_deck.select(*DECK, "_l.*"), "last", version)
-
-        states = self._previous("states", version)
-        if states is None:
-            states = self._empty_states()
-        moved = self._write(sm2_incremental(states, split_graded(written, self.size)), "states", version)
-        before = self._previous("decks", version)
-        touched = written.select(*CARD).distinct()
-        updates = status_of(moved.join(touched, CARD, "left_semi"))
-        self._write(deck_upsert(self.decks if before is None else before, updates), "decks", version)
-
-    def _empty_states(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [],
-            "user_id bigint, deck_id bigint, card_id bigint, last_at timestamp_ntz, state struct<ease_factor:double,"
-            " interval:bigint, is_learned:boolean, progress:int, times_seen:bigint>",
-        )
+        written = self._flags().process(batch.withColumn("created_at", to_second(F.col("created_at"))), version)
+        card_status(split_graded(written, self.size)).write.mode("overwrite").parquet(f"{self.folder}/status/{BATCH}={version}")
 
     def run(self, guesses: DataFrame, checkpoint: str) -> None:
         """Process all guesses that are there."""
@@ -114,10 +67,8 @@ class GuessLoop:
         run.trigger(availableNow=True).start().awaitTermination()
 
     def history(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/history").select(*HISTORY.names)
+        return self._flags().results().select(*HISTORY.names)
 
     def deck_table(self) -> DataFrame:
-        """The newest version of the deck table."""
-        versions = self.spark.read.parquet(f"{self.folder}/decks")
-        newest = versions.agg(F.max(BATCH)).scalar()
-        return versions.where(F.col(BATCH) == newest).drop(BATCH)
+        """The deck table with the last status of every card that was guessed."""
+        return deck_upsert(self.decks, newest(self.spark.read.parquet(f"{self.folder}/status"), CARD))

@@ -95,3 +95,23 @@ def by_deck(rows):
     for row in in_order(rows):
         groups.setdefault((row["user_id"], row["deck_id"]), []).append(row)
     return groups
+
+
+def next_state(state: tuple, grade: int) -> tuple:
+    """One graded answer: (ease, interval, learned, progress, seen)."""
+    ease, interval, learned, progress, seen = state
+    if learned:
+        return state
+    moved = ease - 0.8 + 0.28 * grade - 0.02 * grade * grade
+    moved = max(int(moved * 100) / 100, 1.3)
+    if grade == 5:
+        progress = progress + 1 if progress < 10 else 0
+    seen += 1
+    if seen == 1:
+        ease, interval = moved, 6
+    elif grade >= 4:
+        factor = moved - (0.8 if grade == 5 else 1.3)
+        ease, interval = moved, min(math.ceil(float(interval) * factor), (1 << 63) - 1)
+    else:
+        interval = 1
+    return ease, interval, grade == 5 and progress >= 10, progress, seen

@@ -7,8 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from kartei.functions import scheduling
-from kartei.streaming.guesses import next_state
-from tests.model import FRESH, delay, fold, step
+from tests.model import FRESH, delay, fold, next_state, step
 
 col = F.col
 STATE = "struct<ease_factor:double, interval:bigint, is_learned:boolean, progress:int, times_seen:bigint>"
