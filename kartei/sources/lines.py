@@ -94,10 +94,10 @@ def card_rejects(translated: DataFrame) -> DataFrame:
 
 
 def insert_statement() -> Column:
-    """One INSERT per card. Quotes are doubled, so any sentence is a valid literal."""
-    values = [F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")) for c in CARD_COLUMNS]
+    """One INSERT per card. Quotes are doubled, so any sentence is a valid literal; what is NULL stays so."""
+    quoted = [F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) for c in CARD_COLUMNS]
     template = f"INSERT INTO cards ({', '.join(CARD_COLUMNS)}) VALUES ({', '.join(['%s'] * 7)});"
-    return F.format_string(template.replace("%s", "'%s'"), *values)
+    return F.format_string(template, *(F.coalesce(value, F.lit("NULL")) for value in quoted))
 
 
 def write_insert_statements(cards: DataFrame, path: str) -> None:
