@@ -39,7 +39,7 @@ LEAST_RATIO = 0.1
 WORD = 62
 UNKNOWN = "und"
 _BLOCK = 1 << 21
-_BLANKS = np.uint32(0x20202020)
+BLANKS = np.uint32(0x20202020)
 
 
 def _byte_table() -> np.ndarray:
@@ -82,7 +82,7 @@ def _grams(parts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     grams = np.ndarray((len(raw) - GRAM + 1,), np.dtype("<u4"), raw, 0, (1,)).copy()
     # n-grams that begin between two texts belong to neither
     between = (starts + [len(x) for x in parts])[:, None] + np.arange(GRAM)
-    grams[between[between < len(grams)]] = _BLANKS
+    grams[between[between < len(grams)]] = BLANKS
     return starts, grams
 
 
@@ -99,7 +99,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             for _, _, grams in blocks([t for t, own in zip(texts, langs) if own == lang]):
-                found, n = np.unique(grams[grams != _BLANKS], return_counts=True)
+                found, n = np.unique(grams[grams != BLANKS], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
@@ -123,7 +123,7 @@ class Filter:
         """(n-grams of each text, hits of each text and language)."""
         n, found = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
         for which, starts, grams in blocks(texts):
-            told = grams != _BLANKS
+            told = grams != BLANKS
             np.add.at(n, which, np.add.reduceat(told, starts, dtype=np.int64))
             slots = slot_numbers(grams)
             for word, table in enumerate(self.slots):

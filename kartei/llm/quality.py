@@ -5,9 +5,10 @@ t_1 < t_2 < ... cut the score s of a text: P(grade >= k) = logistic(s - t_k). Th
 expected grade is the sum of these tails, and a text is selected by one of them.
 
 Features are the share of each hashed four-byte piece of the text (digits as
-one), and one feature each for the share of different tokens, the share of tokens equal
-to the one before, and the length, in steps. So junk, shouting, and repetition show in
-few weights.
+one; pieces of blanks only aside), and one feature each, in steps, for the length and the shares of different tokens, of
+tokens equal to the one before, of signs, of signs equal to the byte before, of digits, of
+capitals among ASCII letters, and of blanks. So junk, shouting, and repetition show
+in few weights, however many pieces they are spread over.
 
 Ratings: 0 for low quality, 1 for good but toxic, 2 for good and clean. At most
 `LABELLED` of them, drawn by a hash of the id, are used; what reaches the driver is bounded by that
@@ -21,6 +22,7 @@ only all are near it. Repeated rows each get a row. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartei.llm.language import blocks
+from kartei.llm.language import BLANKS, blocks
 from kartei.llm.tasks import ready
 
 LABELLED = 8_000
 MOST_FEATURES = 256
 SPACE = 1 << 16
-#: Steps of each of the three features of the whole text, after the hashed ones.
+#: Steps of each of the features of the whole text, after the hashed ones.
 STEPS = 64
+WHOLE = 8
 GRADES = 3
 
 
@@ -47,24 +50,39 @@ def _bytes() -> np.ndarray:
 
 
 _TABLE = _bytes()
+_IS_SIGN = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
 
 
 def _places(grams: np.ndarray) -> np.ndarray:
     return ((grams * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
 
 
+def _step(share: float) -> int:
+    """Finer for small shares."""
+    return int(math.sqrt(share) * (STEPS - 1))
+
+
 def _steps(text: str | None) -> list[int]:
     tokens = (text or "").split()
     n = len(tokens)
     different = len(set(tokens)) * 20 // n if n else 20
     again = sum(map(str.__eq__, tokens, tokens[1:])) * 20 // n if n else 0
-    return [SPACE + min(n.bit_length(), STEPS - 1), SPACE + STEPS + different, SPACE + 2 * STEPS + again]
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    counts = np.bincount(raw, minlength=256)
+    signs, digits = int(counts[_IS_SIGN].sum()), int(counts[48:58].sum())
+    capitals, small = int(counts[65:91].sum()), int(counts[97:123].sum())
+    twice = int(np.count_nonzero(_IS_SIGN[raw[1:]] & (raw[1:] == raw[:-1])))
+    size = max(len(raw), 1)
+    shares = [signs / size, twice / size, digits / size, capitals / max(capitals + small, 1), int(counts[_TABLE == 32].sum()) / size]
+    steps = [min(n.bit_length(), STEPS - 1), different, again, *map(_step, shares)]
+    return [SPACE + STEPS * i + step for i, step in enumerate(steps)]
 
 
 def features(text: str | None) -> dict[int, float]:
     """Value of each feature of a text."""
     total, n = np.zeros(SPACE), 0
     for _, _, grams in blocks([text], _TABLE):
+        grams = grams[grams != BLANKS]
         total += np.bincount(_places(grams), minlength=SPACE)
         n += len(grams)
     used = np.flatnonzero(total)
@@ -80,8 +98,9 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
         for which, starts, grams in blocks(texts, _TABLE):
-            np.add.at(total, which, np.add.reduceat(self.weights[_places(grams)], starts))
-            np.add.at(n, which, np.diff(np.append(starts, len(grams))))
+            told = grams != BLANKS
+            np.add.at(total, which, np.add.reduceat(self.weights[_places(grams)] * told, starts))
+            np.add.at(n, which, np.add.reduceat(told, starts, dtype=np.int64))
         return total / np.maximum(n, 1) + self.weights[[_steps(x) for x in texts]].sum(axis=1)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
@@ -91,7 +110,7 @@ class Model:
 
 def fit_ordinal(grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_grades: int = GRADES, rounds: int = 300) -> Model:
     """Likelihood of cumulative links, climbed by steps scaled by past gradients; thresholds stay ordered by positive gaps."""
-    size = SPACE + 3 * STEPS
+    size = SPACE + WHOLE * STEPS
     w, first, gaps = np.zeros(size), 0.0, np.zeros(n_grades - 2)
     past, past_t = np.full(size, 1e-10), np.full(n_grades - 1, 1e-10)
     n = max(len(grades), 1)

@@ -80,7 +80,7 @@ def test_language_counts_equal_model():
     texts = ["The cat", "le chat", None, "12 34", "", "é", "x" * 100]
     for bit, known in enumerate(("the cat", "le chat")):
         for _, _, grams in language.blocks([known]):
-            for s in language.slot_numbers(grams[grams != language._BLANKS]):
+            for s in language.slot_numbers(grams[grams != language.BLANKS]):
                 slots[0][s] |= np.uint64(1 << bit)
     model = language.Filter(["en", "fr"], slots, 0)
     n, hits = model.hits(texts)
@@ -127,3 +127,19 @@ def test_pipeline_keeps_what_each_stage_says(spark):
     assert rows["bpe"] == rows["decontamination"] == docs.select("doc_id").distinct().count()
     assert 0 < rows["decontamination"] < rows["near_duplicates"] <= rows["line_dedup"] <= rows["toxicity"] < 1000
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_quality_scores_equal_the_sum_of_features():
+    rng = np.random.default_rng(5)
+    weights = rng.normal(size=quality.SPACE + quality.WHOLE * quality.STEPS)
+    texts = [None, "", " ", "One two two", "LOUD!!! %%% $$$ 123 123", "é ñ ß", "x" * 50, "word& " * 30_000, "0123456789" * 10]
+    got = quality.Model(weights, np.zeros(2)).scores(texts)
+    for text, score in zip(texts, got):
+        assert score == pytest.approx(sum(weights[place] * value for place, value in quality.features(text).items()))
+
+
+def test_quality_steps_tell_junk_apart():
+    plain, signs, loud = (quality._steps(x) for x in ("Some words here.", "Some&&& words*** here###", "SOME WORDS HERE."))
+    assert plain != signs and plain != loud and signs != loud
+    assert all(len(x) == quality.WHOLE for x in (plain, signs, loud, quality._steps(None)))
+    assert all(i * quality.STEPS <= place - quality.SPACE < (i + 1) * quality.STEPS for x in (plain, signs, loud) for i, place in enumerate(x))
