@@ -6,6 +6,9 @@ return Columns and stay inside the JVM.
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,9 +129,23 @@ def match_key(text: Column, case_insensitive: bool = True, umlaut_insensitive: b
     return fold_case(key) if case_insensitive else key
 
 
+def _simple_fold(char: str) -> str:
+    """Simple case folding: one code point for one, so ẞ is ß and İ stays as it is."""
+    folded = char.casefold() if len(char.casefold()) == 1 else char.lower()
+    return folded if len(folded) == 1 else char
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str]:
+    """All code points that fold to another one, and those."""
+    pairs = [(c, _simple_fold(c)) for c in map(chr, range(sys.maxunicode + 1))]
+    pairs = [(c, to) for c, to in pairs if c != to]
+    return "".join(c for c, _ in pairs), "".join(to for _, to in pairs)
+
+
 def equal_fold_key(text: Column) -> Column:
-    """Equal keys mean equality under simple Unicode case folding (ß stays apart from ss)."""
-    return F.lower(F.translate(text, "ſςΣ", "sσσ"))
+    """Equal keys mean equality under simple Unicode case folding (ß stays apart from ss, İ and ı from i)."""
+    return F.translate(text, *_folding())
 
 
 def characters(text: Column) -> Column:

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartei.functions.judging import quality, with_ratio
+from kartei.functions.judging import JUDGES, quality, with_ratio
 from kartei.functions.scheduling import (
     LEARNED_AT,
     NAIVE_LEARNED_AT,
@@ -40,10 +40,14 @@ def graded_actions(
     case_insensitive: bool = True,
     umlaut_insensitive: bool = True,
     size: ChunkSize = DEFAULT_SIZE,
+    judge: str | None = None,
 ) -> DataFrame:
-    """The history with ``ratio`` and ``grade`` of every guess."""
+    """The history with ``ratio`` and ``grade`` of every guess; a named judge takes the place of the two switches."""
     joined = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
-    rated = with_ratio(joined, "ratio", case_insensitive, umlaut_insensitive)
+    if judge is None:
+        rated = with_ratio(joined, "ratio", case_insensitive, umlaut_insensitive)
+    else:
+        rated = joined.withColumn("ratio", JUDGES[judge](F.col("answer"), F.col("guess")))
     return rated.withColumn("grade", quality(F.col("ratio")))
 
 

@@ -5,6 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from kartei.functions import judging
 from kartei.operators import replay
 from kartei.operators.history import CARD
 from kartei.plans.chunks import DEFAULT_SIZE
@@ -108,3 +109,12 @@ def test_modes_and_schedulers(spark):
     assert replay.SCHEDULERS["sm2"](plain, None).select(*CARD, "times_seen").collect()[0].times_seen == 2
     replay.register_scheduler("again", lambda rows, decks: rows)
     assert replay.SCHEDULERS.pop("again")(plain, None) is plain
+
+
+def test_a_named_judge_grades(spark, monkeypatch):
+    cards = spark.createDataFrame([(1, "Das *Haus* steht")], "card_id long, prompt string")
+    history = spark.createDataFrame([(1, 1, "haus"), (2, 1, "Hauz"), (3, 1, None)], "event_id long, card_id long, guess string")
+    monkeypatch.setitem(judging.JUDGES, "always", lambda answer, guess: F.lit(0.4).cast("double"))
+    got = {j: {r.event_id: r.grade for r in replay.graded_actions(history, cards, judge=j).collect()} for j in ("exact", "levenshtein", "always")}
+    assert got["exact"] == {1: 5, 2: 0, 3: 0} and got["always"] == {1: 2, 2: 2, 3: 2}
+    assert got["levenshtein"][1] == 3 and got["levenshtein"][2] == 3

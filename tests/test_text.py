@@ -126,3 +126,21 @@ def test_lex_before(spark):
     rows = [(["a"], ["b"]), (["a"], ["a", "b"]), (["a"], ["a"]), ([], []), (["b"], []), ([], ["a"]), (["b"], ["a", "z"])]
     got = values(spark, rows, "x array<string>, y array<string>", text.lex_before(col("x"), col("y")))
     assert got == [True, True, False, False, False, True, False]
+
+
+def test_exact_keys_of_all_code_points(spark):
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    cased = [(c, other) for c in chars for other in {c.lower(), c.upper()} if len(other) == 1 and other != c]
+    rows = spark.createDataFrame(cased, "a string, b string")
+    apart = rows.filter(text.equal_fold_key(F.col("a")) != text.equal_fold_key(F.col("b"))).collect()
+    assert [(r.a, r.b) for r in apart] == [("ı", "I")]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [("5 µm", "5 μm", True), ("ϑ", "θ", True), ("Σς", "σσ", True), ("ſ", "S", True), ("K", "k", True), ("ẞ", "ß", True), ("ᲀ", "В", True),
+     ("ι", "ι", True), ("𐐀", "𐐨", True), ("ß", "ss", False), ("İ", "i̇", False), ("İ", "i", False), ("ı", "i", False)],
+)
+def test_exact_keys(spark, a, b, same):
+    row = spark.createDataFrame([(a, b)], "a string, b string")
+    assert row.filter(text.equal_fold_key(F.col("a")) == text.equal_fold_key(F.col("b"))).count() == int(same)
