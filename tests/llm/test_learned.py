@@ -143,3 +143,18 @@ def test_quality_steps_tell_junk_apart():
     assert plain != signs and plain != loud and signs != loud
     assert all(len(x) == quality.WHOLE for x in (plain, signs, loud, quality._steps(None)))
     assert all(i * quality.STEPS <= place - quality.SPACE < (i + 1) * quality.STEPS for x in (plain, signs, loud) for i, place in enumerate(x))
+
+
+def test_beginnings_count_up_to_three_different_words():
+    words = toxicity.text_words("abcdex abcdey abcdez abcdew abcdex short", lambda token: token)
+    assert {b"abcd-", b"abcd--", b"abcd---", b"abcde---", b"shor-"} <= words
+    assert not {b"abcd----", b"shor--", b"short-"} & words
+    assert toxicity.text_words(None, str) == toxicity.text_words("", str) == set()
+
+
+def test_a_word_of_toxic_rows_only_decides_alone():
+    y = np.array([1.0] * 30 + [0.0] * 270)
+    rows = np.concatenate([np.arange(30), np.arange(30), np.arange(30, 40)])
+    cols = np.array([0] * 30 + [1] * 30 + [1] * 10)
+    bias, weights = toxicity._regression(y, rows, cols, 3)
+    assert bias + weights[0] > 0 > bias and weights[2] == 0 and (weights >= 0).all()
