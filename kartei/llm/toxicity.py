@@ -24,6 +24,8 @@ get the same score. Other columns are carried along by `toxicity` and never look
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -45,33 +47,44 @@ SYMBOLS = 28
 # Letters that a sign may stand for.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 #: Signs that may stand between the letters of one word.
-BETWEEN = ".-_*~'`"
+BETWEEN = ".-_*~'`·"
 # Costs of the channel, as negative logarithms.
 COST_SIGN, COST_BETWEEN, COST_REPEAT = 2.0, 1.0, 1.0
 #: Cost of the squares of weights.
 SHRINK = 0.3
 
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$|+(")
+# A letter and a sign with nothing but gaps between, a letter three times, letters one by one.
+_DISGUISED = re.compile(
+    r"[^\W\d_]['`·~*.\-_]*[0-9@$!|+(€£¡]|[0-9@$!|+(€£¡]['`·~*.\-_]*[^\W\d_]"
+    r"|([^\W\d_])\1\1|(?<![^\W_])(?:[^\W_][.\-_*~'`·]){2}[^\W_]"
+)
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$|+(") + "“”„«»…"
 #: Longer tokens are no disguised words.
 LONGEST = 40
+_LETTER, _DIGIT, _SIGN, _GAP, _BLANK, _OTHER_NUMBER, _MARK = 1, 2, 3, 4, 5, 6, 7
 
 
-def _kinds() -> tuple[np.ndarray, bytes]:
-    """(kind of each byte, table that lowers A-Z and blanks all but letters)."""
-    kind, lowered = np.zeros(256, np.uint8), np.full(256, 0x20, np.uint8)
-    for c in range(256):
-        letter = c >= 0x80 or chr(c).isalpha()
-        kind[c] = _LETTER if letter else _DIGIT if chr(c).isdigit() else _SIGN if chr(c) in SIGNS else _GAP if chr(c) in BETWEEN else 0
-        lowered[c] = (c | 0x20 if c < 0x80 else c) if letter else 0x20
-    kind[[9, 10, 11, 12, 13, 32]] = _BLANK
-    return kind, lowered.tobytes()
+def _kind_of(char: str) -> int:
+    if char in SIGNS or char in BETWEEN:
+        return _GAP if char in BETWEEN else _DIGIT if char.isdigit() else _SIGN
+    if char.isalnum():
+        return _OTHER_NUMBER if char.isdecimal() else _LETTER
+    return _BLANK if char.isspace() else _MARK if unicodedata.category(char)[0] == "M" else 0
 
 
-_LETTER, _DIGIT, _SIGN, _GAP, _BLANK = 1, 2, 3, 4, 5
-_KIND, _LOWERED = _kinds()
+def _kinds() -> np.ndarray:
+    """Kind of each code point; there are no letters from 0x34000 on."""
+    kind = np.zeros(0x110000, np.uint8)
+    kind[:0x34000] = [_kind_of(chr(c)) for c in range(0x34000)]
+    return kind
+
+
+_KIND = _kinds()
+#: Lowers A-Z and blanks all but letters of an ASCII text.
+_LOWERED = bytes(c | 0x20 if chr(c).isalpha() and c < 0x80 else 0x20 for c in range(256))
 
 
 def _symbol_table() -> np.ndarray:
@@ -152,32 +165,31 @@ def restore(token: str, model: np.ndarray) -> str:
 
 def disguised(data: bytes) -> set[str]:
     """The tokens of a UTF-8 text that may be disguised words, and runs of letters with single blanks between."""
-    raw = np.frombuffer(b" " + data + b"     ", np.uint8)
-    kind = _KIND[raw]
+    text = data.decode("utf-8", "replace").lower()
+    code = np.frombuffer(f" {text}     ".encode("utf-32-le"), "<u4")
+    kind = _KIND[code]
     letter, blank = kind == _LETTER, kind == _BLANK
-    plain = letter | (kind == _DIGIT)
-    now, after = kind[:-5], kind[1:-4]
-    stands = (now == _DIGIT) | (now == _SIGN)
-    # a sign before a letter, or a digit or one of @$ after one
-    marked = stands & letter[1:-4] | letter[:-5] & ((after == _DIGIT) | (raw[1:-4] == 0x40) | (raw[1:-4] == 0x24))
-    # a letter three times, of one byte or of two
-    same = raw[:-5] == raw[1:-4]
-    marked[:-1] |= same[:-1] & same[1:] & letter[:-6]
-    twice = raw[:-5] == raw[2:-3]
-    marked[:-3] |= twice[:-3] & twice[1:-2] & twice[2:-1] & twice[3:] & (raw[:-8] >= 0xC0)
+    plain = letter | (kind == _DIGIT) | (kind == _OTHER_NUMBER)
+    # more than the pattern finds: a sign next to a letter but for gaps
+    marked = np.zeros(len(kind), bool)
+    solid = np.flatnonzero(kind != _GAP)
+    sign = ((kind == _DIGIT) | (kind == _SIGN))[solid]
+    marked[solid[:-1]] = sign[:-1] & letter[solid[1:]] | letter[solid[:-1]] & sign[1:]
+    # a letter three times
+    same = code[:-1] == code[1:]
+    marked[:-2] |= same[:-1] & same[1:] & letter[:-2]
     # letters one by one: x.x.x
     gap = kind == _GAP
-    marked[1:] |= ~plain[:-6] & plain[1:-5] & gap[2:-4] & plain[3:-3] & gap[4:-2] & plain[5:-1]
+    marked[:-4] |= plain[:-4] & gap[1:-3] & plain[2:-2] & gap[3:-1] & plain[4:]
     # spaced out: blank x blank x blank x
-    spaced = blank[:-5] & plain[1:-4] & (raw[2:-3] == 0x20) & plain[3:-2] & (raw[4:-1] == 0x20) & plain[5:]
+    space = code == 0x20
+    spaced = blank[:-5] & plain[1:-4] & space[2:-3] & plain[3:-2] & space[4:-1] & plain[5:]
     found = set()
     if marked.any():
         blanks = np.flatnonzero(blank)
         token = np.unique(np.searchsorted(blanks, np.flatnonzero(marked), "right"))
-        ends = np.minimum(token, len(blanks) - 1)
-        for begin, end in zip(blanks[token - 1].tolist(), blanks[ends].tolist()):
-            if end - begin <= 2 * LONGEST:
-                found.add(data[begin : end - 1].decode("utf-8", "replace").strip(_EDGES).lower())
+        tokens = {text[begin : end - 1].strip(_EDGES) for begin, end in zip(blanks[token - 1].tolist(), blanks[token].tolist())}
+        found = {x for x in tokens if _DISGUISED.search(x)}
     if spaced.any():
         done = 0
         for begin in np.flatnonzero(spaced).tolist():
@@ -185,13 +197,23 @@ def disguised(data: bytes) -> set[str]:
                 at = done = begin + 1
                 while plain[at] and not plain[at + 1]:
                     done = at
-                    if raw[at + 1] != 0x20:
+                    if not space[at + 1]:
                         break
                     at += 2
-                found.add(data[begin:done:2].decode("utf-8", "replace").lower())
+                found.add(text[begin:done:2])
     return {x for x in found if 0 < len(x) <= LONGEST}
 
 
+def plain_words(data: bytes) -> set[bytes]:
+    """The different runs of letters of a UTF-8 text, lowered; marks on letters belong to them."""
+    if data.isascii():
+        return set(data.translate(_LOWERED).split())
+    code = np.frombuffer(data.decode("utf-8", "replace").lower().encode("utf-32-le"), "<u4")
+    kind = _KIND[code]
+    code = np.where((kind == _LETTER) | (kind == _MARK), code, np.uint32(0x20))
+    return set(code.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8").split())
+
+
 def text_words(text: str | None, restored: Callable[[str], str]) -> set[bytes]:
     """The different words of a text, with those behind disguised ones, and their beginnings of 4 and 5 bytes.
 
@@ -200,7 +222,7 @@ def text_words(text: str | None, restored: Callable[[str], str]) -> set[bytes]:
     if not text:
         return set()
     data = text.encode("utf-8", "replace")
-    words = set(data.translate(_LOWERED).split())
+    words = plain_words(data)
     words.update([restored(x).encode("utf-8", "replace") for x in disguised(data)])
     marks: set[bytes] = set()
     for length in (4, 5):

@@ -158,3 +158,11 @@ def test_a_word_of_toxic_rows_only_decides_alone():
     cols = np.array([0] * 30 + [1] * 30 + [1] * 10)
     bias, weights = toxicity._regression(y, rows, cols, 3)
     assert bias + weights[0] > 0 > bias and weights[2] == 0 and (weights >= 0).all()
+
+
+def test_disguises_at_ends_over_gaps_and_beyond_ascii():
+    cases = {"an idio+ is": {"idio+"}, "oh shi+, no": {"shi+"}, "a-$-$": {"a-$-$"}, "b l ö d": {"blöd"}, "i.d!ot": {"i.d!ot"}, "loOooser": {"looooser"}, "1di€t": {"1di€t"}, "d·u·m·m": {"d·u·m·m"}, "x\u00a01d10t\u3000y": {"1d10t"}, "«no» 5€ done! BLÖD": set()}
+    assert {t: toxicity.disguised(t.encode()) for t in cases} == cases
+    model = np.full((28, 28, 28), -3.0)
+    assert [toxicity.restore(x, model) for x in ("idio+", "a-$-$", "id·i€t")] == ["idiot", "ass", "idiet"]
+    assert toxicity.plain_words("“Blöd” BLÖD «x1y» d\u0308".encode()) == {"blöd".encode(), b"x", b"y", "d\u0308".encode()}
