@@ -3,15 +3,17 @@
 Words may be disguised: signs for letters (`1d10t`), letters spaced out (`i d i o t`,
 `i.d.i.o.t`), letters repeated (`idiooot`). Each suspicious word is a lattice of
 the letters its signs may stand for; a Viterbi search finds the likeliest reading
-under a trigram model of characters and the costs of the channel. The restored
-words are then scored.
+under a trigram model of characters and the costs of the channel. A second search may
+put blanks anywhere, so phrases spaced out and words run together give their single words.
+Tokens of any length are read, those joined by other signs also piece by piece. All
+words of these readings are then scored.
 
 The character model is counted over the texts of all documents. Scores come from a
 logistic regression over words whose share of toxic documents is unusual, learned
 from at most `LABELLED` labelled rows. What reaches the driver is bounded: 21,952
 trigram counts, at most `FEATURES` words, and their places in the sample.
 
-Each task remembers what it has made of at most `REMEMBERED` disguised tokens. Words count
+Each task remembers what it has made of at most `REMEMBERED` disguised tokens of up to `LONG` characters. Words count
 by their first letters too, as endings vary, and more so if several words begin alike.
 
 Defined cases: NULL and empty texts have no words and the score of a text without
@@ -24,6 +26,7 @@ get the same score. Other columns are carried along by `toxicity` and never look
 from __future__ import annotations
 
 import math
+import os.path
 import re
 import unicodedata
 from collections import Counter
@@ -41,6 +44,9 @@ from kartei.plans.storage import written
 LABELLED = 20_000
 FEATURES = 8_192
 REMEMBERED = 200_000
+LONG = 64
+#: Steps of a search after which what all its readings share is set aside.
+SETTLED = 32
 #: Symbols of the character model: a blank, a-z, and one for all other letters.
 SYMBOLS = 28
 
@@ -62,8 +68,13 @@ _DISGUISED = re.compile(
     r"|([^\W\d_])\1\1|(?<![^\W_])(?:[^\W_][.\-_*~'`·]){2}[^\W_]"
 )
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$|+(") + "“”„«»…"
-#: Longer tokens are no disguised words.
-LONGEST = 40
+# Signs that join words, and scripts written without blanks: disguised words begin and end there.
+_JOINS = re.compile(
+    r"[^\w\u0300-\u036f@$!|+(€£¡.\-~*'`·]+"
+    r"|[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U00033fff]+"
+)
+#: Runs from five on are read alike.
+_RUN = re.compile(r"(.)\1{5,}", re.DOTALL)
 _LETTER, _DIGIT, _SIGN, _GAP, _BLANK, _OTHER_NUMBER, _MARK = 1, 2, 3, 4, 5, 6, 7
 
 
@@ -120,11 +131,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def _symbol(letter: str) -> int:
-    return ord(letter) - 96 if "a" <= letter <= "z" else 27
+    return ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else 27
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings (letters, cost) of each run of the same character."""
+def _lattice(token: str, borders: bool = False) -> list[list[tuple[str, float]]]:
+    """Readings (letters, cost) of each run of the same character. borders: a run may be cut by a blank."""
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
@@ -135,6 +146,9 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         letters = [(char, 0.0)] if char.isalpha() else [(x, COST_SIGN) for x in SIGNS.get(char, "")]
         times = {1: [1], 2: [2, 1]}.get(n, [1, 2])
         ways = [(x * t, cost + COST_REPEAT * (t != n)) for x, cost in letters for t in times]
+        if borders:
+            cuts = [(t, u) for t in (1, 2) for u in (1, 2) if t + u <= n]
+            ways += [(x * t + " " + x * u, cost + COST_REPEAT * (t + u != n)) for x, cost in letters for t, u in cuts]
         if char in BETWEEN or not ways:
             ways.append(("", COST_BETWEEN * n))
         out.append(ways)
@@ -142,25 +156,54 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a disguised token, by Viterbi over its lattice."""
+def _with_borders(best: dict[tuple[int, int], tuple[float, str]], model) -> dict[tuple[int, int], tuple[float, str]]:
+    """The same readings, and each with a blank after it."""
+    out = dict(best)
+    for (a, b), (score, word) in best.items():
+        if b:
+            s, known = score + model[a][b][0], out.get((b, 0))
+            if known is None or (-s, word + " ") < (-known[0], known[1]):
+                out[b, 0] = (s, word + " ")
+    return out
+
+
+def restore(token: str, model, borders: bool = False) -> str:
+    """The likeliest word behind a disguised token, by Viterbi over its lattice; with borders, words with blanks between."""
+    settled: list[str] = []
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in _lattice(token.lower()):
+    for step, ways in enumerate(_lattice(token.lower(), borders), 1):
+        if borders:
+            best = _with_borders(best, model)
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, word) in best.items():
             for letters, cost in ways:
                 x, y, s = a, b, score - cost
                 for letter in letters:
                     z = _symbol(letter)
-                    s += model[x, y, z]
+                    s += model[x][y][z]
                     x, y = y, z
                 known = after.get((x, y))
                 # ties go to the word that sorts first
                 if known is None or (-s, word + letters) < (-known[0], known[1]):
                     after[x, y] = (s, word + letters)
         best = after
-    ends = [(-(s + model[a, b, 0]), word) for (a, b), (s, word) in best.items()]
-    return min(ends)[1]
+        if step % SETTLED == 0:
+            shared = os.path.commonprefix([word for _, word in best.values()])
+            settled.append(shared)
+            best = {at: (score, word[len(shared) :]) for at, (score, word) in best.items()}
+    ends = [(-(s + model[a][b][0]), word) for (a, b), (s, word) in best.items()]
+    return "".join(settled) + min(ends)[1]
+
+
+def readings(token: str, model) -> str:
+    """All words behind a disguised token of any length, with blanks between."""
+    short = _RUN.sub(r"\1\1\1\1\1", token)
+    words = {restore(short, model)}
+    pieces = [x.strip(_EDGES) for x in _JOINS.split(short)] if _JOINS.search(short) else []
+    for piece in {x for x in pieces if _DISGUISED.search(x)} if pieces else {short}:
+        words.add(restore(piece, model))
+        words.update(restore(piece, model, True).split(" "))
+    return " ".join(sorted(words - {""}))
 
 
 def disguised(data: bytes) -> set[str]:
@@ -201,7 +244,7 @@ def disguised(data: bytes) -> set[str]:
                         break
                     at += 2
                 found.add(text[begin:done:2])
-    return {x for x in found if 0 < len(x) <= LONGEST}
+    return found - {""}
 
 
 def plain_words(data: bytes) -> set[bytes]:
@@ -223,7 +266,8 @@ def text_words(text: str | None, restored: Callable[[str], str]) -> set[bytes]:
         return set()
     data = text.encode("utf-8", "replace")
     words = plain_words(data)
-    words.update([restored(x).encode("utf-8", "replace") for x in disguised(data)])
+    for token in disguised(data):
+        words.update(restored(token).encode("utf-8", "replace").split())
     marks: set[bytes] = set()
     for length in (4, 5):
         begin = Counter([w[:length] for w in words if len(w) > length])
@@ -232,7 +276,9 @@ def text_words(text: str | None, restored: Callable[[str], str]) -> set[bytes]:
 
 
 def _remembering(model: np.ndarray) -> Callable[[str], str]:
-    return lru_cache(maxsize=REMEMBERED)(lambda token: restore(token, model))
+    table = model.tolist()  # faster to look up one by one
+    short = lru_cache(maxsize=REMEMBERED)(lambda token: readings(token, table))
+    return lambda token: short(token) if len(token) <= LONG else readings(token, table)
 
 
 def labelled_rows(labels: DataFrame, most: int = LABELLED) -> DataFrame:

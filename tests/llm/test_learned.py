@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,48 @@ def test_disguises_at_ends_over_gaps_and_beyond_ascii():
     model = np.full((28, 28, 28), -3.0)
     assert [toxicity.restore(x, model) for x in ("idio+", "a-$-$", "id·i€t")] == ["idiot", "ass", "idiet"]
     assert toxicity.plain_words("“Blöd” BLÖD «x1y» d\u0308".encode()) == {"blöd".encode(), b"x", b"y", "d\u0308".encode()}
+
+
+def counted_model(text):
+    batch = pa.RecordBatch.from_pydict({"text": [text]})
+    got = next(toxicity._count_trigrams(iter([batch])))
+    table = np.full(28**3, 0.01)
+    table[got.column(0).to_numpy()] += got.column(1).to_numpy()
+    table = table.reshape(28, 28, 28)
+    return np.log(table / table.sum(axis=2, keepdims=True))
+
+
+def test_long_disguises_give_their_single_words():
+    text = "you are an idiot and nobody here will ever want to hear what you have to say again"
+    restored = toxicity._remembering(counted_model((text + " ") * 50))
+    for many in (1, 3, 40):
+        assert set(text.encode().split()) <= toxicity.text_words(" ".join((text * many).replace(" ", "")), restored)
+    for token in ("idi" + "o" * 500 + "t", "word/" * 30 + "1d10t", "/".join(["1d10t", "x" * 90]), "youarean1d10tandnobodyherewilleverwanttohear", "傻" * 50 + "1d10t" + "傻" * 50):
+        assert b"idiot" in toxicity.text_words("so " + token + ", no", restored), token
+
+
+def test_borders_are_the_best_path():
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.ones(28), (28, 28)))
+    for token in ("1d10t", "l.o!", "aab", "aaab", "$aaaaa"):
+        paths = {}
+        for path in itertools.product(*toxicity._lattice(token, True)):
+            for blanks in itertools.product(("", " "), repeat=len(path) - 1):
+                word = path[0][0] + "".join(b + p[0] for b, p in zip(blanks, path[1:]))
+                if "  " in word or word[:1] == " ":
+                    continue
+                x, y, total = 0, 0, -sum(p[1] for p in path)
+                for letter in word + " ":
+                    total += model[x, y, toxicity._symbol(letter)]
+                    x, y = y, toxicity._symbol(letter)
+                paths[word] = max(total, paths.get(word, -np.inf))
+        assert paths[toxicity.restore(token, model, True)] == pytest.approx(max(paths.values()))
+
+
+def test_settled_beginnings_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = np.log(rng.dirichlet(np.ones(28), (28, 28)))
+    tokens = ["".join(rng.choice(list("ab1|!o0+.$"), 200)) for _ in range(5)]
+    got = [toxicity.restore(x, model, borders) for x in tokens for borders in (False, True)]
+    monkeypatch.setattr(toxicity, "SETTLED", 10**9)
+    assert got == [toxicity.restore(x, model, borders) for x in tokens for borders in (False, True)]
