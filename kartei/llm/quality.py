@@ -11,8 +11,8 @@ capitals among ASCII letters, and of blanks. So junk, shouting, and repetition s
 in few weights, however many pieces they are spread over.
 
 Ratings: 0 for low quality, 1 for good but toxic, 2 for good and clean. At most
-`LABELLED` of them, drawn by a hash of the id, are used; what reaches the driver is bounded by that
-and by `MOST_FEATURES` features of a text (its most frequent, only in learning).
+`LABELLED` of them, drawn by a hash of the id, are used, each with all its features. These reach the driver
+a partition at a time and wait in temporary files of 12 bytes a feature, read in blocks of `BLOCK`.
 
 Defined cases: NULL and empty texts have no tokens and are scored by their length.
 Ratings that are NULL or without a document teach nothing; a document rated more
@@ -23,7 +23,9 @@ only all are near it. Repeated rows each get a row. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 
 from kartei.llm.language import BLANKS, blocks
 from kartei.llm.tasks import ready
+from kartei.plans.storage import written
 
 LABELLED = 8_000
-MOST_FEATURES = 256
+#: Features that one step of learning reads at once.
+BLOCK = 1 << 20
 SPACE = 1 << 16
 #: Steps of each of the features of the whole text, after the hashed ones.
 STEPS = 64
@@ -78,15 +82,21 @@ def _steps(text: str | None) -> list[int]:
     return [SPACE + STEPS * i + step for i, step in enumerate(steps)]
 
 
-def features(text: str | None) -> dict[int, float]:
-    """Value of each feature of a text."""
+def _vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of all features of a text."""
     total, n = np.zeros(SPACE), 0
     for _, _, grams in blocks([text], _TABLE):
         grams = grams[grams != BLANKS]
         total += np.bincount(_places(grams), minlength=SPACE)
         n += len(grams)
-    used = np.flatnonzero(total)
-    return dict(zip(used.tolist(), (total[used] / max(n, 1)).tolist())) | {p: 1.0 for p in _steps(text)}
+    used, steps = np.flatnonzero(total), _steps(text)
+    return np.concatenate((used, steps)), np.concatenate((total[used] / max(n, 1), np.ones(len(steps))))
+
+
+def features(text: str | None) -> dict[int, float]:
+    """Value of each feature of a text."""
+    places, values = _vector(text)
+    return dict(zip(places.tolist(), values.tolist()))
 
 
 class Model:
@@ -114,17 +124,18 @@ def fit_ordinal(grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, values:
     w, first, gaps = np.zeros(size), 0.0, np.zeros(n_grades - 2)
     past, past_t = np.full(size, 1e-10), np.full(n_grades - 1, 1e-10)
     n = max(len(grades), 1)
-    used = np.unique(cols)
+    parts = [slice(i, i + BLOCK) for i in range(0, len(cols), BLOCK)]
+    used = np.flatnonzero(sum((np.bincount(cols[part], minlength=size) for part in parts), np.zeros(size)))
     for _ in range(rounds if len(grades) else 0):
         t = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        s = np.bincount(rows, w[cols] * values, len(grades))
+        s = sum((np.bincount(rows[part], w[cols[part]] * values[part], len(grades)) for part in parts), np.zeros(len(grades)))
         above = 1 / (1 + np.exp(-np.clip(s[:, None] - t[None, :], -40, 40)))  # P(y >= k), k = 1..
         tails = np.hstack([np.ones((len(grades), 1)), above, np.zeros((len(grades), 1))])
         at = np.arange(len(grades))
         p = np.maximum(tails[at, grades] - tails[at, grades + 1], 1e-9)
         slope = np.hstack([np.zeros((len(grades), 1)), above * (1 - above), np.zeros((len(grades), 1))])
         d_s = (slope[at, grades] - slope[at, grades + 1]) / p / n
-        grad = np.bincount(cols, d_s[rows] * values, size) - 1e-6 * w
+        grad = sum((np.bincount(cols[part], d_s[rows[part]] * values[part], size) for part in parts), -1e-6 * w)
         past[used] += grad[used] ** 2
         w[used] += 0.2 * grad[used] / np.sqrt(past[used])
         d_t = np.zeros(n_grades + 1)
@@ -148,25 +159,34 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            some = batch.slice(first, 256)
-            found = [sorted(features(x).items(), key=lambda p: (-p[1], p[0]))[:MOST_FEATURES] for x in some.column(2).to_pylist()]
-            places = pa.array([[p for p, _ in x] for x in found], pa.list_(pa.int32()))
-            values = pa.array([[v for _, v in x] for x in found], pa.list_(pa.float32()))
+        for first in range(0, batch.num_rows, 32):
+            some = batch.slice(first, 32)
+            found = [_vector(x) for x in some.column(2).to_pylist()]
+            places = pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary())
+            values = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), places, values], ["doc_id", "grade", "places", "weights"])
 
 
+def _filed(file, kind: str) -> np.ndarray:
+    file.flush()
+    return np.memmap(file, kind, "r") if file.tell() else np.empty(0, kind)
+
+
 def learn(docs: DataFrame, rated: DataFrame, most: int = LABELLED) -> Model:
     """The model of at most so many ratings (doc_id, grade)."""
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # at most `most` rows of 12 bytes
-    sample = sample.mapInArrow(_featured, "doc_id long, grade int, places array<int>, weights array<float>")
-    table = sample.orderBy("doc_id", "grade").select("grade", "places", "weights").toArrow()
-    grades = table.column("grade").to_numpy().astype(np.int64)
-    places, values = table.column("places").combine_chunks(), table.column("weights").combine_chunks()
-    rows = np.repeat(np.arange(len(grades)), places.value_lengths().to_numpy() if len(grades) else 0)
-    return fit_ordinal(grades, rows, places.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float))
+    sample = written(sample.mapInArrow(_featured, "doc_id long, grade int, places binary, weights binary"), "quality-features")
+    grades = []
+    with ExitStack() as files:
+        rows, cols, values = (files.enter_context(tempfile.TemporaryFile()) for _ in range(3))
+        for row in sample.orderBy("doc_id", "grade").select("grade", "places", "weights").toLocalIterator():
+            rows.write(np.full(len(row.places) // 4, len(grades), "<i4").tobytes())
+            cols.write(row.places)
+            values.write(row.weights)
+            grades.append(row.grade)
+        return fit_ordinal(np.array(grades, np.int64), _filed(rows, "<i4"), _filed(cols, "<i4"), _filed(values, "<f4"))
 
 
 def _grader(weights: np.ndarray, thresholds: np.ndarray, select_from: int):

@@ -212,3 +212,30 @@ def test_settled_beginnings_change_nothing(monkeypatch):
     got = [toxicity.restore(x, model, borders) for x in tokens for borders in (False, True)]
     monkeypatch.setattr(toxicity, "SETTLED", 10**9)
     assert got == [toxicity.restore(x, model, borders) for x in tokens for borders in (False, True)]
+
+
+def test_quality_learns_from_all_features_of_a_text(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3_000 * (i % 3))) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rated = spark.createDataFrame([(i, i % 3) for i in range(12)], "doc_id long, grade int")
+    seen = {}
+
+    def fit(grades, rows, cols, values):
+        seen.update({i: (int(grades[i]), dict(zip(cols[rows == i].tolist(), values[rows == i].tolist()))) for i in range(len(grades))})
+
+    monkeypatch.setattr(quality, "fit_ordinal", fit)
+    quality.learn(docs, rated)
+    assert len(seen) == 12 and max(len(told) for _, told in seen.values()) > 2_000
+    for i, (grade, told) in seen.items():
+        assert grade == i % 3 and told == pytest.approx(quality.features(texts[i]), rel=1e-6)
+
+
+def test_ordinal_fit_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    grades, rows = rng.integers(0, 3, 50), np.repeat(np.arange(50), 8)
+    cols, values = rng.integers(0, 40, 400), rng.random(400)
+    whole = quality.fit_ordinal(grades, rows, cols, values, rounds=20)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    parts = quality.fit_ordinal(grades, rows, cols, values, rounds=20)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.thresholds, parts.thresholds)
