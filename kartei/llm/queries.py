@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kartei.llm import bpe, decontaminate, language, licenses, line_dedup, mtree, quality, simhash, token_counts, toxicity
+from kartei.llm import bpe, decontaminate, filter_audit, language, licenses, line_dedup, mtree, quality, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_quality": lambda s, d: quality.quality_grades(_table(s, d, "documents"), _table(s, d, "labels")),
         "op9_licenses": lambda s, d: licenses.license_digests(_table(s, d, "documents")),
         "op10_bpe": lambda s, d: bpe.bpe_digests(_table(s, d, "documents")),
+        "op11_filter_audit": lambda s, d: filter_audit.audit(_table(s, d, "documents"), _table(s, d, "labels")),
     }
 
 
@@ -106,6 +107,50 @@ FROM doc LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+_AUDIT = r"""
+WITH word AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+labelled AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(w) < 200,
+    100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)
+  ] AS f
+  FROM word LEFT JOIN labelled USING (doc_id)
+),
+cell AS (SELECT part, good, toxic, f, count(*) AS n FROM failing GROUP BY ALL),
+letter AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM letter a JOIN letter b ON b.i <> a.i JOIN letter c ON c.i NOT IN (a.i, b.i)
+  JOIN letter d ON d.i NOT IN (a.i, b.i, c.i) JOIN letter e ON e.i NOT IN (a.i, b.i, c.i, d.i)
+),
+met AS (
+  SELECT part, o, step, good, toxic, n, f[o[step]] AS own,
+    len([x FOR x IN o[1 : step - 1] IF f[x]]) > 0 AS earlier, len([x FOR x IN f IF x]) AS n_fails
+  FROM orders, (SELECT unnest(range(1, 6)) AS step), cell
+),
+counted AS (
+  SELECT part, o, step,
+    CAST(coalesce(sum(n) FILTER (NOT own AND NOT earlier), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (own AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (own AND earlier), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (own AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (own AND NOT earlier AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (own AND NOT earlier AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY part, o, step
+)
+SELECT part, array_to_string([substr('ABCDE', x, 1) FOR x IN o], '') AS filter_order, CAST(step AS INTEGER) AS step,
+  kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def llm_statements() -> dict[str, str]:
     """SQL for the queries that SQL can say; the others are tested against brute force."""
-    return {"op1_topk_search": _TOP_K, "op3_decontamination": _WINDOWS, "op5_line_dedup": _LINES}
+    return {"op1_topk_search": _TOP_K, "op3_decontamination": _WINDOWS, "op5_line_dedup": _LINES, "op11_filter_audit": _AUDIT}
