@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kartei.llm import bpe, decontaminate, filter_audit, language, licenses, line_dedup, mtree, quality, simhash, token_counts, toxicity
+from kartei.llm import bpe, decontaminate, filter_audit, language, licenses, line_dedup, mtree, quality, simhash, token_counts, toxicity, va_kmeans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ def llm_queries() -> dict[str, Query]:
         "op9_licenses": lambda s, d: licenses.license_digests(_table(s, d, "documents")),
         "op10_bpe": lambda s, d: bpe.bpe_digests(_table(s, d, "documents")),
         "op11_filter_audit": lambda s, d: filter_audit.audit(_table(s, d, "documents"), _table(s, d, "labels")),
+        "op12_centroids": lambda s, d: va_kmeans.cluster_digests(_table(s, d, "embeddings")),
     }
 
 
@@ -151,6 +152,40 @@ FROM counted
 """
 
 
+def _k_means(rounds: int = 5, clusters: int = 40, dims: int = 64) -> str:
+    """The rounds of the clustering, one common table after the other."""
+    square = f"CAST(list_sum([(v[i] - m[i]) * (v[i] - m[i]) FOR i IN range(1, {dims + 1})]) AS BIGINT)"
+    parts = [
+        f"""v0 AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM v0 WHERE vec_id IS NOT NULL
+  ORDER BY sha256('2:' || vec_id), v LIMIT {clusters}
+)""",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': {square}, 'c': c}}) AS b FROM v0, c{k} GROUP BY r
+)""")
+        if k < rounds:
+            parts.append(f"""s{k} AS (
+  SELECT b.c AS c, i, CAST(sum(v[i]) AS HUGEINT) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY ALL
+),
+c{k + 1} AS MATERIALIZED (
+  SELECT c, coalesce(f, m) AS m FROM c{k}
+  LEFT JOIN (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS f FROM s{k} GROUP BY c) USING (c)
+)""")
+    last = f"""
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance,
+  CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON b.c = c
+"""
+    return "WITH " + ",\n".join(parts) + last
+
+
 def llm_statements() -> dict[str, str]:
     """SQL for the queries that SQL can say; the others are tested against brute force."""
-    return {"op1_topk_search": _TOP_K, "op3_decontamination": _WINDOWS, "op5_line_dedup": _LINES, "op11_filter_audit": _AUDIT}
+    return {"op1_topk_search": _TOP_K, "op3_decontamination": _WINDOWS, "op5_line_dedup": _LINES, "op11_filter_audit": _AUDIT, "op12_centroids": _k_means()}
