@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kartei.llm import bpe, decontaminate, filter_audit, language, licenses, line_dedup, mtree, quality, simhash, token_counts, toxicity, va_kmeans
+from kartei.llm import bpe, decontaminate, filter_audit, jaccard_join, language, licenses, line_dedup, mtree, quality, simhash, token_counts, toxicity, va_kmeans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,7 @@ def llm_queries() -> dict[str, Query]:
         "op10_bpe": lambda s, d: bpe.bpe_digests(_table(s, d, "documents")),
         "op11_filter_audit": lambda s, d: filter_audit.audit(_table(s, d, "documents"), _table(s, d, "labels")),
         "op12_centroids": lambda s, d: va_kmeans.cluster_digests(_table(s, d, "embeddings")),
+        "op13_jaccard_join": lambda s, d: jaccard_join.near_duplicates(_table(s, d, "documents")),
     }
 
 
