@@ -3,20 +3,28 @@
 Native: built-in functions only. Every window of `WINDOW` words holds
 `WINDOW - GRAM + 1` rolling hashes of `GRAM` words; the smallest is the window's
 fingerprint, so a passage of `WINDOW` words that a document shares with an item
-gives both the same fingerprint, always. Documents keep each fingerprint once, the
-join finds items with the same one, and each hit is extended to the windows that
-have it, which are then compared word by word.
+gives both the same fingerprint, always. The join finds the places of documents whose
+fingerprint an item has; the documents with such places are read again, and the words of each
+place are compared with the item's windows, so hits reach over the whole shared span.
+
+What is exploded is a place and its hash, never an array, and each document's places are
+then one row: the work on a document grows with its length, also if all of it is shared.
 
 Items of fewer than `WINDOW` words are one window each. The guarantee does not
 reach them, so for each length that occurs (nine at most) the hashes of all
 document runs of that length are fingerprints.
 
 The item fingerprints are broadcast only if they are counted and at most
-`MOST_BROADCAST`; otherwise the fingerprints of the documents are shuffled to
-them, and the documents with hits are read again.
-
-Defined cases: NULL or empty texts have no words. Repeated rows of documents each
-get the same result. Items without an id are searched for but not named.
+`MOST_BROADCAST`. Otherwise each document's different fingerprints are shuffled to them first,
+and places are looked for in the documents with any. The keys of documents with places are
+broadcast under the same condition, else joined by a shuffle.
+
+Defined cases: NULL or empty texts have no words and no hits. Repeated rows of documents each
+get the same result; windows that repeat in an item, in items or in a document count once at each place.
+Items without an id are searched for but not named. A very long document or item is
+a row of arrays in proportion to its length, its windows about ten times its text if all
+of it is hit. Items' ids that sort alike as strings keep that order. Without documents there are no rows,
+without items no hits. Other columns are carried along by `without_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kartei.llm.words import KEY, ngram_hashes, same_key, with_key, words
+from kartei.llm.words import KEY, ngram_hashes, same_key, unused, with_key, words
 from kartei.plans.storage import written
 
 WINDOW = 10
@@ -68,10 +76,14 @@ def _window_text(start: Column, length: Column) -> Column:
 
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, length, window (its words) and fingerprint: one row for each different window of an item."""
-    plain = items.select("item_id", "text").withColumn("words", words(F.col("text")))
-    long = _with_windows(items.select("item_id", "text"), []).select("item_id", "words", F.posexplode_outer(_at_length(WINDOW)).alias("start", "fingerprint"))
-    long = long.filter("start IS NOT NULL").select("item_id", F.lit(WINDOW).alias("length"), _window_text(F.col("start"), F.lit(WINDOW)).alias("window"), "fingerprint")
+    prepared = _with_windows(items.select("item_id", "text"), [])
+    # the window's words are made before the explode, which would copy all words to each row; an outer
+    # explode, or a filter on the array's size is inferred, which computes everything twice
+    windows = F.transform(_at_length(WINDOW), lambda x, i: F.struct(_window_text(i, F.lit(WINDOW)).alias("window"), x.alias("fingerprint")))
+    long = prepared.select("item_id", F.lit(WINDOW).alias("length"), F.explode_outer(windows).alias("w"))
+    long = long.select("item_id", "length", "w.window", "w.fingerprint").filter("window IS NOT NULL")
     n = F.size("words")
+    plain = items.select("item_id", "text").withColumn("words", words(F.col("text")))
     short = plain.filter((n > 0) & (n < WINDOW))
     hashes = F.transform("words", lambda w: F.xxhash64(w))
     one = F.lit(None).cast("long")
@@ -81,6 +93,28 @@ def item_windows(items: DataFrame) -> DataFrame:
     return long.union(short).distinct()
 
 
+def _fingerprints(lengths: list[int]) -> Column:
+    return F.concat(*(F.col(_at_length(n)) for n in [WINDOW, *lengths]))
+
+
+def _places(prepared: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """Place -1 for each row of prepared, and a row for each place whose fingerprint is wanted: KEY, n_words, start, length."""
+    # NULL marks the document itself: one pass gives documents and places. An outer explode of an array that
+    # is never empty: from others a filter on their size is inferred, which computes the arrays twice.
+    marks = F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), _fingerprints(lengths))).alias("at", "mark")
+    marked = prepared.select(*KEY, "n_words", marks)
+    found = marked.join(wanted, marked.mark == wanted.fingerprint, "left").filter("mark IS NULL OR length IS NOT NULL")
+    # which length and start an entry stands for follows from the number of words
+    start, own, before = F.col("at") - 1, F.lit(WINDOW), F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0))
+    for length in lengths:
+        here = F.col("at") - 1 >= before
+        start, own = F.when(here, F.col("at") - 1 - before).otherwise(start), F.when(here, length).otherwise(own)
+        before = before + F.greatest(F.col("n_words") - (length - 1), F.lit(0))
+    is_document = F.col("mark").isNull()
+    placed = found.select(*KEY, "n_words", F.when(is_document, F.lit(-1)).otherwise(start).cast("int").alias("start"), own.alias("own"), "length")
+    return placed.filter("start = -1 OR own = length").select(*KEY, "n_words", "start", "length")
+
+
 def find_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, hits).
 
@@ -92,37 +126,45 @@ def find_windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     lengths = sorted(r.length for r in windows.select("length").distinct().collect() if r.length < WINDOW)
     wanted = windows.select("fingerprint", "length").distinct()
     few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    prepared = _with_windows(with_key(docs), lengths)
-    # -1 marks the document itself: one pass gives documents and hits. Outer explodes of arrays that
-    # are never empty: from others a filter on their size is inferred, which computes the arrays twice.
-    fingerprints = F.array_distinct(F.concat(*(F.col(_at_length(n)) for n in [WINDOW, *lengths])))
-    marks = F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), fingerprints)).alias("mark")
+    keyed = with_key(docs)
     if few:
-        marked = prepared.select("*", marks)
-        found = marked.join(F.broadcast(wanted), marked.mark == wanted.fingerprint, "left").filter("mark IS NULL OR length IS NOT NULL")
-        places = written(_extended(found, lengths), "windows")
+        places = written(_places(_with_windows(keyed, lengths), F.broadcast(wanted), lengths), "places")
+        documents = places.filter("start = -1").select(*KEY, "n_words")
     else:
-        marked = prepared.select(*KEY, "n_words", marks)
-        base = marked.filter("mark IS NULL").withColumns({"start": F.lit(-1), "length": F.lit(None).cast("int"), "window": F.lit(None).cast("string")})
-        shared = marked.filter("mark IS NOT NULL").join(wanted, marked.mark == wanted.fingerprint).select(*KEY, "mark", "length").distinct()
-        again = prepared.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-        found = shared.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).drop("_id", "_hash")
-        places = written(base.select(*KEY, "n_words", "start", "length", "window").union(_extended(found, lengths)), "windows")
-    documents = places.filter("start = -1").select(*KEY, "n_words")
-    hits = places.filter("start >= 0").select(*KEY, "start", "length", "window").distinct()
-    return documents, hits.join(windows.select("window").distinct(), "window", "left_semi").select(*KEY, "start", "length", "window")
-
-
-def _extended(found: DataFrame, lengths: list[int]) -> DataFrame:
-    """A row for each window that has the fingerprint of a hit; start -1 for the documents themselves."""
-    of_length = F.col(_at_length(WINDOW))
-    for length in lengths:
-        of_length = F.when(F.col("length") == length, F.col(_at_length(length))).otherwise(of_length)
-    starts = F.array_compact(F.transform(of_length, lambda x, i: F.when(x == F.col("mark"), i)))
-    starts = F.when(F.col("mark").isNull(), F.array(F.lit(-1))).otherwise(starts)
-    placed = found.select(*KEY, "n_words", "words", "length", F.explode_outer(starts).alias("start")).filter("start IS NOT NULL")
-    window = F.when(F.col("start") >= 0, _window_text(F.col("start"), F.col("length")))
-    return placed.select(*KEY, "n_words", "start", "length", window.alias("window"))
+        prepared = _with_windows(keyed, lengths)
+        once = F.array_distinct(F.concat(F.array(F.lit(None).cast("long")), _fingerprints(lengths)))
+        marked = prepared.select(*KEY, "n_words", F.explode_outer(once).alias("mark"))
+        marked = marked.join(wanted.select("fingerprint").distinct(), F.col("mark") == F.col("fingerprint"), "left")
+        marked = written(marked.filter("mark IS NULL OR fingerprint IS NOT NULL").select(*KEY, "n_words", "mark"), "marks")
+        documents = marked.filter("mark IS NULL").select(*KEY, "n_words")
+        met = marked.filter("mark IS NOT NULL").select(*KEY).distinct()
+        places = written(_places(_with_windows(_of_keys(keyed, met), lengths), wanted, lengths), "places")
+    starts = places.filter("start >= 0").groupBy(*KEY).agg(F.collect_set(F.struct("start", "length")).alias("places"))
+    starts = written(starts, "starts")
+    return documents, _verified(_of_keys(keyed, starts), windows)
+
+
+def _of_keys(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that rows has keys of, with the other columns of rows; rows are broadcast if they are few."""
+    few = rows.select(*KEY).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    keys = rows.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    held = keyed.join(F.broadcast(keys) if few else keys, same, "left_semi")
+    if rows.columns == KEY:
+        return held
+    others = rows.withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
+    return held.join(others, same).drop("of_id", "of_hash")
+
+
+def _verified(placed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Of documents with their places: those places whose words are an item's window, once for each key."""
+    known = placed.withColumn("words", words(F.col("text"))).drop("text")
+    # every place is inside; what is used twice is not moved into the lambda and found anew for each place
+    window = lambda p: F.when(p["start"] < F.size("words"), _window_text(p["start"], p["length"]))
+    texts = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), window(p).alias("window")))
+    hits = known.select(*KEY, F.explode_outer(texts).alias("t")).select(*KEY, "t.start", "t.length", "t.window")
+    hits = hits.filter("window IS NOT NULL").distinct()
+    return hits.join(windows.select("window").distinct(), "window", "left_semi").select(*KEY, "start", "length", "window")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,6 +196,7 @@ def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item, columns as they are."""
     _, hits = find_windows(docs, items)
-    bad = hits.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash"))
+    id_, hash_ = unused(docs, "bad_id", "bad_hash")
+    bad = hits.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     return docs.join(bad, same, "left_anti")

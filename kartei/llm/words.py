@@ -32,6 +32,23 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of rows has, whatever the case of its letters."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """The name of a column as an expression, also if it holds dots or backquotes."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def same_key(left: DataFrame, right: DataFrame) -> Column:
     """Null-safe equality of the keys; an equi-join all the same."""
     return left.doc_id.eqNullSafe(right.doc_id) & (left.text_hash == right.text_hash)
