@@ -35,6 +35,7 @@ from pyspark.sql.window import Window
 
 from kartei.llm.graph import components
 from kartei.llm.tasks import ready
+from kartei.llm.words import quoted, unused
 from kartei.plans.storage import written
 
 SHINGLE = 4
@@ -42,6 +43,8 @@ SEED = 42
 RADIUS = 4
 HALF = 32
 CROWDED = 1_000
+#: Variants that a task makes.
+EMITTED = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -114,9 +117,16 @@ def _meets_here() -> Column:
     return (F.bit_count(apart) <= RADIUS) & (is_high == by_high) & speaks
 
 
+def _tasks(different: DataFrame) -> int:
+    """So many tasks that each makes about `EMITTED` variants."""
+    return max(1, -(-different.count() * 2 * (HALF + 1) // EMITTED))
+
+
 def links(different: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """a, b: verified links between different fingerprints; every linked pair is connected by them."""
-    emitted = different.select("bits", F.explode_outer(_variants(F.col("bits"))).alias("variant"))
+    # a few megabytes of fingerprints become 66 times as many rows: dealt to tasks by the rows to come
+    spread = different.repartition(_tasks(different), "bits")
+    emitted = spread.select("bits", F.explode_outer(_variants(F.col("bits"))).alias("variant"))
     met = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(emitted.join(met, "variant"), "variants")
     sparse = met.filter(F.col("n") <= crowded).select("variant", "bits")
@@ -133,7 +143,7 @@ def links(different: DataFrame, crowded: int = CROWDED) -> DataFrame:
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, text_hash, bits, label (the class, a fingerprint) and component_id for each row of docs."""
     own = written(fingerprints(docs), "fingerprints")
-    different = own.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    different = written(own.groupBy("bits").agg(F.min("doc_id").alias("least")), "different")
     labels = components(links(different.select("bits"), crowded))
     labelled = different.join(labels, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("label", "bits").alias("label"))
     labelled = written(labelled, "labels")
@@ -150,12 +160,13 @@ def simhash_digests(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component; one row if that repeats."""
-    found = near_duplicates(docs)
-    first = Window.partitionBy("label").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    kept = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    # no id comes after all ids; a minimum, so that no component is one task
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = near_duplicates(docs).groupBy("label").agg(F.min(order).alias("kept"))
     # the same key twice is the same text under the same id; no id sorts below all ids
-    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = kept.select(own_id.alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = docs.withColumns({"_id": own_id, "_hash": F.xxhash64("text")}).join(kept, ["_id", "_hash"])
-    copies = Window.partitionBy("_id", "_hash").orderBy("_id", "_hash")
-    return rows.withColumn("_n", F.row_number().over(copies)).filter("_n = 1").select(*docs.columns)
+    id_, hash_, n = unused(docs, "kept_id", "kept_hash", "kept_n")
+    no_id = F.lit(-(1 << 63))
+    kept = kept.select(F.coalesce("kept.doc_id", no_id).alias(id_), F.col("kept.text_hash").alias(hash_))
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), no_id), hash_: F.xxhash64("text")}).join(kept, [id_, hash_])
+    copies = Window.partitionBy(id_, hash_).orderBy(id_, hash_)
+    return rows.withColumn(n, F.row_number().over(copies)).filter(F.col(n) == 1).select(*map(quoted, docs.columns))

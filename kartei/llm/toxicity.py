@@ -11,7 +11,7 @@ words of these readings are then scored.
 The character model is counted over the texts of all documents. Scores come from a
 logistic regression over words whose share of toxic documents is unusual, learned
 from at most `LABELLED` labelled rows. What reaches the driver is bounded: 21,952
-trigram counts, at most `FEATURES` words, and their places in the sample.
+trigram counts, the words that tell toxic rows of the sample, and their places in it.
 
 Each task remembers what it has made of at most `REMEMBERED` disguised tokens of up to `LONG` characters. Words count
 by their first letters too, as endings vary, and more so if several words begin alike.
@@ -37,12 +37,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartei.llm.tasks import ready
+from kartei.llm.words import quoted, unused
 from kartei.plans.storage import written
 
 LABELLED = 20_000
-FEATURES = 8_192
 REMEMBERED = 200_000
 LONG = 64
 #: Steps of a search after which what all its readings share is set aside.
@@ -315,9 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, learns: Column |
         F.sum("toxic").alias("in_bad"), F.sum(1 - F.col("toxic")).alias("in_good")
     )
     odds = F.log((F.col("in_bad") + 0.5) / (bad + 1)) - F.log((F.col("in_good") + 0.5) / (good + 1))
-    gain = F.col("in_bad") * odds
-    top = in_kind.filter((F.col("in_bad") >= 2) & (odds > 1)).orderBy(gain.desc(), "word").limit(FEATURES).select("word")
-    words = sorted(bytes(r.word) for r in top.collect())
+    # the sample is bounded, and with it the words of several toxic rows that are collected
+    telling = in_kind.filter((F.col("in_bad") >= 2) & (odds > 1)).select("word")
+    words = sorted(bytes(r.word) for r in telling.collect())
     place = F.broadcast(docs.sparkSession.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "place int, word binary"))
     found = sample.select("doc_id", "toxic", F.explode_outer("words").alias("word")).join(place, "word", "left")
     found = found.groupBy("doc_id", "toxic").agg(F.sort_array(F.collect_set("place")).alias("places")).orderBy("doc_id").collect()
@@ -353,28 +354,34 @@ def _scorer(model: np.ndarray, bias: float, weights: dict[bytes, float]):
         restored, known = _remembering(model), frozenset(weights)
         for batch in parts:
             scores = []
-            for text in batch.column("_toxic_text").to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 total = bias + sum(sorted(weights[w] for w in known & text_words(text, restored)))
                 scores.append(1 / (1 + math.exp(-max(-40.0, min(40.0, total)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "_toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "toxic_score"])
 
     return batches
 
 
-def _scored(docs: DataFrame, labels: DataFrame, learns: Column | None, most: int) -> DataFrame:
-    """docs with one more column, _toxic_score."""
+def _scored(docs: DataFrame, labels: DataFrame, learns: Column | None, most: int) -> tuple[DataFrame, str]:
+    """docs with one more column, a score, and the name of that column, which no other has."""
     model = character_model(docs)
     bias, weights = fit(docs, labels, model, learns, most)
-    given = docs.withColumn("_toxic_text", F.col("text").cast("string"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_toxic_score double"])
-    return given.mapInArrow(_scorer(model, bias, weights), schema)
+    # numbered meanwhile, as Python functions over batches can not take names with dots
+    [score] = unused(docs, "toxic_score")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = numbered[f"c{docs.columns.index('text')}"].cast("string")
+    fields = [T.StructField(n, f.dataType) for n, f in zip(numbered.columns, docs.schema.fields)]
+    schema = T.StructType([*fields, T.StructField("toxic_score", T.DoubleType())])
+    scored = numbered.withColumn("toxic_text", text).mapInArrow(_scorer(model, bias, weights), schema)
+    return scored.toDF(*docs.columns, score), score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learns: Column | None = None, most: int = LABELLED) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if the score is 0.5 or more) in place of columns so named."""
-    score = F.col("_toxic_score")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    return _scored(docs, labels, learns, most).select(*own, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    scored, name = _scored(docs, labels, learns, most)
+    score = F.col(name)
+    own = [F.col(quoted(c)) for c in docs.columns if c not in ("score", "predicted")]
+    return scored.select(*own, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -390,4 +397,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score under 0.5, columns as they are."""
-    return _scored(docs, labels, ~held_out(F.col("doc_id")), LABELLED).filter("_toxic_score < 0.5").select(*docs.columns)
+    scored, score = _scored(docs, labels, ~held_out(F.col("doc_id")), LABELLED)
+    return scored.filter(F.col(score) < 0.5).select(*map(quoted, docs.columns))

@@ -50,7 +50,7 @@ def test_line_dedup(spark):
         want.append((i, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     docs = frame(spark, rows)
     assert rows_of(line_dedup.line_digests(docs)) == sorted(want, key=str)
-    three = line_dedup.repeated_lines(docs, 10, 4).collect()
+    three = line_dedup.repeated_lines(line_dedup.line_keys(docs), 4).collect()
     assert [r.keeper for r in three] == [2]
     assert line_dedup.without_repeated_lines(docs).columns == docs.columns
     assert {r.doc_id for r in line_dedup.without_repeated_lines(docs).collect()} == {5, 2, 7, 1, 3, None, 20, 21, 30, 31, 40, 41, 50}
