@@ -58,6 +58,12 @@ FEW = 8
 BLOCK = 1 << 19
 #: Rows of a block, on average at most.
 BLOCK_ROWS = 1 << 11
+#: Pairs of a task that compares rows one by one, on average.
+STARS = 256
+#: Rows of a task that multiplies pairs of blocks, on average; a pair of blocks is not cut.
+TILE_ROWS = 512
+#: Rows of at most 40 bytes: 40 MB.
+MOST_BROADCAST = 1_000_000
 #: Columns, and pairs of entries, that are multiplied at a time.
 GROUP, PAIRS = 1 << 11, 1 << 22
 
@@ -173,24 +179,6 @@ def _heads(counts, shared):
     return batches
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest and the set, as bytes, of each text."""
-    for batch in batches:
-        for some, sets in _sets_of(batch, 1):
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([g.tobytes() for g in sets], pa.binary())], ["digest", "grams"])
-
-
-def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a, b and both sets those pairs that are linked."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(both >= least_overlap(len(x) + len(y)))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-
 def _entries(block: list[np.ndarray], flat: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, places, sizes): the rows in each of these columns, where each column begins, how many it has."""
     row = np.repeat(np.arange(len(block)), [len(g) for g in block])
@@ -253,22 +241,61 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _product(table: pa.Table) -> pa.Table:
-    """Forest links of the rows of one pair of blocks: digest, grams, side (0, 1, or 2 for a block with itself)."""
-    digests = table.column("digest").to_pylist()
-    sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-    side = table.column("side").to_numpy()
-    sizes = np.array([len(g) for g in sets], np.int64)
-    rows, columns = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-    linked = np.zeros((len(sets), len(sets)), bool)
-    if len(rows) and len(columns):
-        both = overlaps([sets[i] for i in rows], [sets[i] for i in columns])
-        near = (100 + PER_CENT) * both >= PER_CENT * (sizes[rows][:, None] + sizes[columns][None, :])
-        linked[np.ix_(rows, columns)] = near
+def _near(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Which of these rows are linked."""
+    sizes = [np.array([len(g) for g in some], np.int64) for some in (rows, columns)]
+    return (100 + PER_CENT) * overlaps(rows, columns) >= PER_CENT * (sizes[0][:, None] + sizes[1][None, :])
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    texts = [x or b"" for x in column.to_pylist()]
+    return [g for first, last in slices([len(x) for x in texts]) for g in ngram_sets(texts[first:last])]
+
+
+LINKS = "a binary, b binary"
+
+
+def _link_table(edges: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
+
+
+def _groups(keys: list) -> list[list[int]]:
+    """The places of each key."""
+    found: dict = {}
+    for i, key in enumerate(keys):
+        found.setdefault(key, []).append(i)
+    return list(found.values())
+
+
+def _products(table: pa.Table) -> pa.Table:
+    """Forest links of some pairs of blocks: tile, digest, text, side (0, 1, or 2 for a block with itself)."""
+    digests, sets = table.column("digest").to_pylist(), _sets(table.column("text"))
+    side, edges = table.column("side").to_numpy(), []
+    for own in _groups(table.column("tile").to_pylist()):
+        own = np.array(own)
+        rows, columns = np.flatnonzero(side[own] != 1), np.flatnonzero(side[own] != 0)
+        if not len(rows) or not len(columns):
+            continue
+        linked = np.zeros((len(own), len(own)), bool)
+        linked[np.ix_(rows, columns)] = _near([sets[i] for i in own[rows]], [sets[i] for i in own[columns]])
         linked |= linked.T
         np.fill_diagonal(linked, False)
-    edges = forest(linked)
-    return pa.table({"a": pa.array([digests[i] for i, _ in edges], pa.binary()), "b": pa.array([digests[j] for _, j in edges], pa.binary())})
+        edges += [(digests[own[i]], digests[own[j]]) for i, j in forest(linked)]
+    return _link_table(edges)
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """Links of some rows (star) with each of their candidates: star, digest, text."""
+    stars, digests, sets = table.column("star").to_pylist(), table.column("digest").to_pylist(), _sets(table.column("text"))
+    edges = []
+    for own in _groups(stars):
+        star = stars[own[0]]
+        centre = [i for i in own if digests[i] == star]
+        others = [i for i in own if digests[i] != star]
+        if centre and others:
+            near = _near([sets[centre[0]]], [sets[i] for i in others])[0]
+            edges += [(star, digests[i]) for i, linked in zip(others, near.tolist()) if linked]
+    return _link_table(edges)
 
 
 def _rows(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -303,11 +330,11 @@ def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FE
     shared = spark.sparkContext.broadcast(_shared_map(slim, counted))
     heads = slim.mapInArrow(_heads(counted, shared), "gram long, digest binary, n int, place int")
     heads = written(heads.groupBy("gram", "digest").agg(F.min("n").alias("n"), F.min("place").alias("place")), "heads")
-    degree = written(heads.groupBy("gram").agg(F.count("*").alias("degree")).filter("degree > 1"), "columns")
-    heads = written(heads.join(degree, "gram"), "shared-heads")
+    many = heads.groupBy("gram").agg(F.count("*").alias("degree")).filter(F.col("degree") > few).select(F.col("gram").alias("many"))
+    many = _small(written(many, "crowded-columns"))
 
     # blocks of the rows that are in crowded columns: like sizes, the same smallest crowded column, and a part
-    crowded = heads.filter(F.col("degree") > few)
+    crowded = written(heads.join(many, F.col("gram") == F.col("many"), "left_semi"), "crowded-heads")
     home = crowded.groupBy("digest", "n").agg(F.min(F.struct(F.xxhash64("gram").alias("h"), "gram")).alias("least"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PER_CENT))).cast("int")
     home = written(home.select("digest", "n", F.col("least.gram").alias("home"), band.alias("band")), "homes")
@@ -318,7 +345,7 @@ def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FE
     blocks = written(blocks, "blocks")
 
     # pairs of rows that meet in columns of few rows; those that share a crowded column too meet in their blocks
-    sparse = written(heads.filter(F.col("degree") <= few).select("gram", "digest", "n", "place"), "sparse-heads")
+    sparse = heads.join(many, F.col("gram") == F.col("many"), "left_anti").select("gram", "digest", "n", "place")
     left, right = (sparse.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in sparse.columns[1:])) for side in "ab")
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * PER_CENT / F.lit(100 + PER_CENT))
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * PER_CENT) & (F.col("n_b") * 100 >= F.col("n_a") * PER_CENT)
@@ -338,26 +365,36 @@ def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FE
     tiles = one.join(other, "gram").filter((F.col("one") <= F.col("other")) & near).select("one", "other").distinct()
     tiles = written(tiles, "tiles")
 
-    # the sets of all rows that are compared
-    wanted = candidates.select(F.col("a").alias("digest")).union(candidates.select("b")).union(blocks.select("digest")).distinct()
+    # stars: each row with the larger ones it may be linked to, some hundred pairs at a time
+    bundles = max(1, candidates.count() // STARS)
+    bundle = F.pmod(F.xxhash64("a"), F.lit(bundles)).alias("bundle")
+    stars = candidates.select(bundle, F.col("a").alias("star"), F.col("b").alias("digest"))
+    stars = stars.union(candidates.select(bundle, F.col("a"), F.col("a")).distinct())
+
+    # the texts of all rows that are compared, once each
+    wanted = stars.select("digest").union(blocks.select("digest")).distinct()
     holders = classes.join(wanted, "digest").select("digest", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
+    holders = _small(written(holders, "holders"))
     texts = slim.join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("digest", "text")
-    sets = texts.mapInArrow(_set_batches, "digest binary, grams binary")
-    sets = written(sets.groupBy("digest").agg(F.max("grams").alias("grams")), "sets")
+    texts = written(texts.groupBy("digest").agg(F.first("text").alias("text")), "texts")
 
-    pairs = candidates.join(sets.select(F.col("digest").alias("a"), F.col("grams").alias("grams_a")), "a")
-    pairs = pairs.join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("grams_b")), "b")
-    found = pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(_linked_pairs, "a binary, b binary")
-
-    rows = blocks.select("digest", "block").join(sets, "digest")
+    found = stars.join(texts, "digest").groupBy("bundle").applyInArrow(_stars, LINKS)
     sides = tiles.filter("one <> other")
     asked = sides.select("one", "other", F.lit(0).alias("side"), F.col("one").alias("block"))
     asked = asked.union(sides.select("one", "other", F.lit(1), "other")).union(tiles.filter("one = other").select("one", "other", F.lit(2), "one"))
-    tasks = rows.join(asked, "block").select("one", "other", "side", "digest", "grams")
-    products = tasks.groupBy("one", "other").applyInArrow(_product, "a binary, b binary")
+    rows = blocks.select("digest", "block").join(asked.withColumn("tile", F.xxhash64("one", "other")), "block").select("tile", "side", "digest")
+    rows = written(rows, "tile-rows")
+    bundles = max(1, rows.count() // TILE_ROWS)
+    tasks = rows.join(texts, "digest").withColumn("bundle", F.pmod("tile", F.lit(bundles)))
+    products = tasks.groupBy("bundle").applyInArrow(_products, LINKS)
     return written(found.union(products), "ngram-links")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast if counted and at most `MOST_BROADCAST`, else joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
+
+
 def near_duplicates(docs: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs."""
     ready(docs.sparkSession)
