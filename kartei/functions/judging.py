@@ -196,6 +196,13 @@ JUDGES: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+def judge_by_name(name: str, answer: Column, guess: Column) -> Column:
+    """The ratio by the judge of that name."""
+    if name not in JUDGES:
+        raise ValueError(f"no judge {name!r}; there are {', '.join(sorted(JUDGES))}")
+    return JUDGES[name](answer, guess)
+
+
 def register_judge(name: str, judge: Callable[[Column, Column], Column]) -> None:
     """Add a judge: (answer, guess) -> ratio in [0, 1]."""
     JUDGES[name] = judge

@@ -89,10 +89,11 @@ def split_history(
     return split_groups(history, keys or DECK, ORDER, size, source)
 
 
-def derive_drop(judged: Chunked) -> DataFrame:
+def derive_drop(judged: Chunked, stored: str | None = None) -> DataFrame:
     """Drop a correct guess that follows a wrong one: the answer had been shown.
 
-    The previous guess of a chunk's first row is the last one of the chunk before.
+    The previous guess of a chunk's first row is the last one of the chunk before;
+    ``stored`` names a column with the verdict on the guess before all of these rows.
     """
     carry = judged.carry(
         {"_last": F.max_by("correct", F.struct(*judged.order))},
@@ -100,7 +101,8 @@ def derive_drop(judged: Chunked) -> DataFrame:
     )
     previous = F.lag("correct").over(judged.window())
     rows = judged.join_carry(judged.rows.withColumn("_previous", previous), carry)
-    before = F.coalesce("_previous", "_last_before", F.lit(True))
+    known = ["_previous", "_last_before"] if stored is None else ["_previous", "_last_before", stored]
+    before = F.coalesce(*known, F.lit(True))
     dropped = (F.col("correct") & ~before).cast("int")
     return rows.withColumn("drop_action", dropped).drop("_previous", "_last_before")
 

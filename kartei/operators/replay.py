@@ -171,19 +171,42 @@ def status_of(states: DataFrame, keys: Sequence[str] = CARD) -> DataFrame:
     )
 
 
-def sm2_incremental(snapshot: DataFrame, new_actions: Chunked) -> DataFrame:
-    """Stored states moved on by later actions only.
+def snapshot(chunked: Chunked) -> DataFrame:
+    """(keys, last_order, state): what later actions are folded onto; last_order is the (created_at, event_id) reached."""
+    last = chunked.rows.groupBy(*CARD).agg(F.max(F.struct(*ORDER)).alias("last_order"))
+    return replay(chunked.rows).select(*CARD, "state").join(last, CARD).select(*CARD, "last_order", "state")
 
-    ``snapshot`` holds (user, deck, card, last_at, state); the result has its form.
+
+def late_keys(new: DataFrame, stored: DataFrame, keys: Sequence[str] = CARD) -> DataFrame:
+    """The keys with a new action at or before the last one stored: what came of them can not be moved on."""
+    first = new.groupBy(*keys).agg(F.min(F.struct(*ORDER)).alias("_first"))
+    return first.join(stored.select(*keys, "last_order"), list(keys)).where(F.col("_first") <= F.col("last_order")).select(*keys)
+
+
+def sm2_incremental(stored: DataFrame, new: DataFrame, history: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+    """Stored states moved on by new graded actions, some of which may be older than what is stored.
+
+    ``stored`` is a ``snapshot``, and so is the result. Cards whose new actions all come after
+    the stored ones are moved on from their states. The others are replayed from
+    ``history``, the graded actions behind ``stored``, of which only their rows
+    are used; an action that both hold counts once.
     """
-    stored = snapshot.withColumnRenamed("last_at", "_stored_at").withColumnRenamed("state", "_stored")
-    fresh = _collected(_stretch_rows(new_actions.rows, CARD), CARD)
-    joined = stored.join(fresh, CARD, "full_outer")
-    return joined.select(
+    late = late_keys(new, stored)
+    fresh = split_graded(new.join(late, CARD, "left_anti"), size, keys=CARD)
+    moved = _collected(_stretch_rows(fresh.rows, CARD), CARD)
+    last = fresh.rows.groupBy(*CARD).agg(F.max(F.struct(*ORDER)).alias("_new_order"))
+    moved = moved.select(*CARD, _STRETCHES).join(last, CARD)
+    kept = stored.join(late, CARD, "left_anti").withColumnsRenamed({"last_order": "_stored_order", "state": "_stored"})
+    joined = kept.join(moved, CARD, "full_outer")
+    on_time = joined.select(
         *CARD,
-        F.greatest("last_at", "_stored_at").alias("last_at"),
+        F.coalesce("_new_order", "_stored_order").alias("last_order"),
         F.when(F.col(_STRETCHES).isNull(), F.col("_stored")).otherwise(_fold(joined, "_stored")).alias("state"),
     )
+    needed = [*CARD, *ORDER, "grade", "drop_action"]
+    again = history.join(late, CARD, "left_semi").select(*needed).unionByName(new.join(late, CARD, "left_semi").select(*needed))
+    again = again.groupBy(*CARD, "event_id").agg(*(F.first(c).alias(c) for c in ("created_at", "grade", "drop_action")))
+    return on_time.unionByName(snapshot(split_graded(again, size, keys=CARD)))
 
 
 def sm2_trajectory(
@@ -298,8 +321,13 @@ def _schedule_sm2(graded: DataFrame, decks: DataFrame) -> DataFrame:
 SCHEDULERS = {"sm2": _schedule_sm2, "naive": naive_schedule}
 
 
+def schedule_by_name(name: str, graded: DataFrame, decks: DataFrame) -> DataFrame:
+    """Deck rows by the scheduler of that name: the status of cards with actions (sm2), or of all deck rows (naive)."""
+    if name not in SCHEDULERS:
+        raise ValueError(f"no scheduler {name!r}; there are {', '.join(sorted(SCHEDULERS))}")
+    return SCHEDULERS[name](graded, decks)
+
+
 def register_scheduler(name: str, scheduler) -> None:
     """Add a scheduler: (graded actions, decks) -> deck rows."""
     SCHEDULERS[name] = scheduler
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from kartei.sources.schemas import GUESSES, HISTORY
 from kartei.sources.study import Study, study_of
 from kartei.streaming import guesses as streams
 from kartei.streaming import tables
-from kartei.streaming.refold import Refold
+from kartei.streaming.keyed import GuessLoop, Keyed
 
 # Moments the queries are asked for; the events cover 2024-01-01 to 2024-01-30.
 AS_OF = "2024-01-30 23:59:59"
@@ -278,10 +279,29 @@ def naive_schedule(s: Study) -> DataFrame:
 
 @query
 def sm2_incremental(s: Study) -> DataFrame:
-    """States as of the cut, moved on by the later actions."""
-    snapshot = replay.replay(replay.split_graded(_graded(s, _before(s)), source=s.history).rows)
-    moved = replay.sm2_incremental(snapshot, _split_graded(s, _after(s)))
-    return moved.select(*history.CARD, "last_at", "state.*")
+    """States as of the cut, moved on by the later actions and by one in seven earlier ones that arrive late."""
+    is_late = col("event_id") % 7 == 3
+    stored = _before(s).where(~is_late)
+    new = _after(s).unionByName(_before(s).where(is_late))
+    moved = replay.sm2_incremental(replay.snapshot(_split_graded(s, stored)), _graded(s, new), _graded(s, stored))
+    return moved.select(*history.CARD, col("last_order.created_at").alias("last_at"), "state.*")
+
+
+@query
+def schedule_by_name(s: Study) -> DataFrame:
+    """Every registered scheduler over the same actions."""
+    graded = _graded(s)
+    return reduce(
+        DataFrame.unionByName,
+        (replay.schedule_by_name(name, graded, s.decks).withColumn("scheduler", F.lit(name)) for name in sorted(replay.SCHEDULERS)),
+    )
+
+
+@query
+def judge_by_name(s: Study) -> DataFrame:
+    """How every registered judge grades each guess."""
+    ratios = {f"{name}_ratio": judging.judge_by_name(name, col("answer"), col("guess")) for name in sorted(judging.JUDGES)}
+    return _answered(s).select("event_id", *(judge.alias(name) for name, judge in ratios.items()))
 
 
 @query
@@ -557,29 +577,29 @@ def stream_judge(s: Study) -> DataFrame:
     return _run(s, "stream-judge", judged.select("event_id", "ratio", "grade", "correct"), "append").drop(tables.BATCH)
 
 
-def _refolded(s: Study, name: str, make: Callable[[str, DataFrame], Refold], stream: DataFrame) -> DataFrame:
+def _kept_up(s: Study, name: str, make: Callable[[str, DataFrame], Keyed], stream: DataFrame) -> DataFrame:
     out, checkpoint = _stream_folders(s, name)
-    refold = make(out, s.cards)
-    refold.run(stream, checkpoint)
-    return refold.results()
+    kept = make(out, s.cards)
+    kept.run(stream, checkpoint)
+    return kept.results()
 
 
 @query
 def stream_drop(s: Study) -> DataFrame:
-    return _refolded(s, "stream-drop", streams.drop_flags, _guess_stream(s))
+    return _kept_up(s, "stream-drop", streams.drop_flags, _guess_stream(s))
 
 
 @query
 def stream_sm2(s: Study) -> DataFrame:
-    return _refolded(s, "stream-sm2", streams.card_states, _history_stream(s))
+    return _kept_up(s, "stream-sm2", streams.card_states, _history_stream(s))
 
 
 @query
 def stream_daily_progress(s: Study) -> DataFrame:
-    return _refolded(s, "stream-progress", streams.daily_progress, streams.with_day(_history_stream(s)))
+    return _kept_up(s, "stream-progress", streams.daily_progress, _history_stream(s))
 
 
-def _guess_loop(s: Study) -> tables.GuessLoop:
+def _guess_loop(s: Study) -> GuessLoop:
     """The whole loop over all guesses; every card in play has a deck row."""
     known = s.history.select(*history.CARD).distinct()
     fresh = known.select(
@@ -590,7 +610,7 @@ def _guess_loop(s: Study) -> tables.GuessLoop:
         F.lit(0).alias("times_seen"),
     )
     out, checkpoint = _stream_folders(s, "stream-history")
-    loop = tables.GuessLoop(s.spark, s.cards, fresh.unionByName(s.unseen), out)
+    loop = GuessLoop(s.spark, s.cards, out, decks=fresh.unionByName(s.unseen))
     loop.run(_guess_stream(s), checkpoint)
     return loop
 

@@ -1,8 +1,4 @@
-"""Guess streams: source, judging, and what follows from ordered histories.
-
-Judging is stateless. Drop flags, card states and daily progress are folded again from
-the stored history of the keys a micro-batch touches, so late guesses count like others.
-"""
+"""Guess streams: source and judging, which is stateless. What depends on order is in `keyed`."""
 
 from __future__ import annotations
 
@@ -12,11 +8,9 @@ from pyspark.sql import types as T
 
 from kartei.functions.judging import quality, with_ratio
 from kartei.operators.cards import answers
-from kartei.operators.history import CARD, DECK, derive_drop, judged_actions, split_history
-from kartei.operators.replay import card_status, graded_actions, split_graded
 from kartei.plans.chunks import fits_broadcast
 from kartei.sources.schemas import GUESSES
-from kartei.streaming.refold import Refold
+from kartei.streaming.keyed import CardStates, DailyProgress, DropFlags
 
 
 def read_guesses(
@@ -47,29 +41,13 @@ def stream_judge(guesses: DataFrame, cards: DataFrame) -> DataFrame:
     )
 
 
-def drop_flags(folder: str, cards: DataFrame) -> Refold:
-    """The drop flag of each guess, from the verdict on the guess before it."""
-
-    def result(guesses: DataFrame) -> DataFrame:
-        return derive_drop(split_history(judged_actions(guesses, cards))).select(*DECK, "event_id", "drop_action")
-
-    return Refold(cards.sparkSession, folder, DECK, result)
-
-
-def card_states(folder: str, cards: DataFrame) -> Refold:
-    """Deck rows of all cards with actions."""
-    return Refold(cards.sparkSession, folder, CARD, lambda actions: card_status(split_graded(graded_actions(actions, cards))))
-
-
-def daily_progress(folder: str, cards: DataFrame) -> Refold:
-    """Answers that count towards the goal, per user, deck and UTC day of the actions (with a column ``day``)."""
-    counts = (F.col("drop_action") == 1) | F.col("correct")
+def drop_flags(folder: str, cards: DataFrame, **settings) -> DropFlags:
+    return DropFlags(cards.sparkSession, cards, folder, **settings)
 
-    def result(actions: DataFrame) -> DataFrame:
-        return judged_actions(actions, cards).groupBy(*DECK, "day").agg(F.sum(counts.cast("bigint")).alias("answered_today"))
 
-    return Refold(cards.sparkSession, folder, [*DECK, "day"], result)
+def card_states(folder: str, cards: DataFrame, **settings) -> CardStates:
+    return CardStates(cards.sparkSession, cards, folder, **settings)
 
 
-def with_day(actions: DataFrame) -> DataFrame:
-    return actions.withColumn("day", F.to_date("created_at"))
+def daily_progress(folder: str, cards: DataFrame, **settings) -> DailyProgress:
+    return DailyProgress(cards.sparkSession, cards, folder, **settings)

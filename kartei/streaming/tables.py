@@ -1,19 +1,11 @@
-"""Stream sinks: result tables by micro-batch, and the history and deck tables."""
+"""Stream sinks: result tables by micro-batch."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kartei.operators.history import CARD, DECK, ORDER, derive_drop
-from kartei.operators.replay import card_status, graded_actions, split_graded
-from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize, split_groups
-from kartei.sources.schemas import HISTORY
-from kartei.sources.sinks import deck_upsert, to_second
-from kartei.streaming.refold import BATCH, Refold, newest
+BATCH = "batch"
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
@@ -32,43 +24,3 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
 def read_batches(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     schema = T.StructType([*like.schema.fields, T.StructField(BATCH, T.IntegerType())])
     return spark.read.schema(schema).parquet(path)
-
-
-@dataclass
-class GuessLoop:
-    """The whole loop from guess to deck table, one micro-batch at a time.
-
-    A micro-batch is added to the stored guesses; the decks it touches are judged, flagged
-    and replayed again from all their guesses, late ones in their place, with the batch
-    operators, so hot keys are split here too. Only touched decks are written, and a
-    repeated micro-batch gives the same tables.
-    """
-
-    spark: SparkSession
-    cards: DataFrame
-    decks: DataFrame
-    folder: str
-    size: ChunkSize = DEFAULT_SIZE
-
-    def _flags(self) -> Refold:
-        return Refold(self.spark, f"{self.folder}/history", DECK, self._flagged)
-
-    def _flagged(self, guesses: DataFrame) -> DataFrame:
-        graded = graded_actions(guesses, self.cards, size=self.size).withColumn("correct", F.col("ratio") == 1.0)
-        return derive_drop(split_groups(graded, DECK, ORDER, self.size)).select(*HISTORY.names, "grade")
-
-    def process(self, batch: DataFrame, version: int) -> None:
-        written = self._flags().process(batch.withColumn("created_at", to_second(F.col("created_at"))), version)
-        card_status(split_graded(written, self.size)).write.mode("overwrite").parquet(f"{self.folder}/status/{BATCH}={version}")
-
-    def run(self, guesses: DataFrame, checkpoint: str) -> None:
-        """Process all guesses that are there."""
-        run = guesses.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
-        run.trigger(availableNow=True).start().awaitTermination()
-
-    def history(self) -> DataFrame:
-        return self._flags().results().select(*HISTORY.names)
-
-    def deck_table(self) -> DataFrame:
-        """The deck table with the last status of every card that was guessed."""
-        return deck_upsert(self.decks, newest(self.spark.read.parquet(f"{self.folder}/status"), CARD))

@@ -169,5 +169,12 @@ FROM (SELECT *, coalesce(sum(correct::bigint) OVER (PARTITION BY user_id, deck_i
 }
 
 
+STATEMENTS["schedule_by_name"] = f"""SELECT {K}, date_ready, card_learned, card_progress, times_seen, 'sm2' AS scheduler FROM statuses
+UNION ALL SELECT {K}, date_ready, card_learned, card_progress, times_seen, 'naive' AS scheduler FROM ({STATEMENTS['naive_schedule']})"""
+STATEMENTS["judge_by_name"] = f"""SELECT event_id, e.ratio AS exact_ratio, r.exact_ratio AS levenshtein_ratio, case_ratio AS levenshtein_case_ratio,
+  umlaut_ratio AS levenshtein_umlaut_ratio, both_ratio AS levenshtein_both_ratio
+FROM ({STATEMENTS['exact_judge']}) e JOIN ({STATEMENTS['answer_ratio']}) r USING (event_id)"""
+
+
 def all_statements() -> dict[str, str]:
     return {name: query(statement) for name, statement in STATEMENTS.items()}

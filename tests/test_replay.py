@@ -55,18 +55,35 @@ def test_trajectory(spark, size, mix):
     assert {r.event_id: tuple(r[c] for c in replay.STATE_FIELDS) for r in got.collect()} == want
 
 
+LATE = {
+    "in order": lambda r: r["created_at"] >= START + timedelta(seconds=17),
+    "mixed": lambda r: r["created_at"] >= START + timedelta(seconds=17) or r["event_id"] % 5 == 0,
+    "one user late": lambda r: r["user_id"] == 1 and r["event_id"] % 2 == 0,
+}
+
+
 @pytest.mark.parametrize("size", SIZES)
-def test_incremental_equals_replay(spark, size):
+@pytest.mark.parametrize("is_new", LATE.values(), ids=LATE)
+def test_incremental_equals_replay(spark, size, is_new):
     rows = actions(13, hot=90)
-    cut_at = START + timedelta(seconds=17)
-    early = [r for r in rows if r["created_at"] < cut_at]
-    late = [r for r in rows if r["created_at"] >= cut_at]
-    snapshot = replay.replay(replay.split_graded(graded(spark, early), size).rows)
-    moved = replay.sm2_incremental(snapshot, replay.split_graded(graded(spark, late), size))
-    whole = replay.replay(replay.split_graded(graded(spark, rows), size).rows)
+    old, new = [r for r in rows if not is_new(r)], [r for r in rows if is_new(r)]
+    stored = replay.snapshot(replay.split_graded(graded(spark, old), size))
+    # an action that is stored already is late, and counts once
+    moved = replay.sm2_incremental(stored, graded(spark, new + old[3:4]), graded(spark, old), size)
+    whole = replay.snapshot(replay.split_graded(graded(spark, rows), size))
     assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, whole.select(*moved.columns).collect()))
 
 
+def test_only_late_keys_are_replayed(spark):
+    rows = actions(13, hot=90)
+    old, new = [r for r in rows if r["event_id"] % 3], [r for r in rows if r["event_id"] % 3 == 0]
+    stored = replay.snapshot(replay.split_graded(graded(spark, old)))
+    got = {tuple(r) for r in replay.late_keys(graded(spark, new), stored).collect()}
+    order = lambda r: (r["created_at"], r["event_id"])
+    last = {k: max(map(order, group)) for k, group in by_card(old).items()}
+    assert got == {k for k, group in by_card(new).items() if k in last and min(map(order, group)) <= last[k]} and got
+
+
 def test_naive_schedule(spark):
     base = dict(user_id=1, deck_id=0, card_id=1, created_at=START, grade=0, drop_action=0, event_id=1)
     rows = [
@@ -108,7 +125,10 @@ def test_modes_and_schedulers(spark):
     plain = replay.graded_actions(history, cards)
     assert replay.SCHEDULERS["sm2"](plain, None).select(*CARD, "times_seen").collect()[0].times_seen == 2
     replay.register_scheduler("again", lambda rows, decks: rows)
-    assert replay.SCHEDULERS.pop("again")(plain, None) is plain
+    assert replay.schedule_by_name("again", plain, None) is plain
+    del replay.SCHEDULERS["again"]
+    with pytest.raises(ValueError, match="no scheduler 'again'; there are naive, sm2"):
+        replay.schedule_by_name("again", plain, None)
 
 
 def test_a_named_judge_grades(spark, monkeypatch):
