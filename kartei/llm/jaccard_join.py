@@ -5,7 +5,8 @@ row) and a column for each n-gram, named by a 64-bit hash. Overlaps are the entr
 with itself, and only those that can reach the threshold are accumulated.
 
 Columns. They are ordered from rare to common, by counts of all documents' n-grams over a
-fixed number of buckets. Of sets of a and b n-grams a link needs t/(1+t)(a+b) in common,
+fixed number of buckets; those that rows were found to share by that order go last in a second one, as
+buckets can not tell rare from unique. Of sets of a and b n-grams a link needs t/(1+t)(a+b) in common,
 so a linked pair meets in the first n - ceil(t n) + 1 columns of each row, its head.
 Columns of heads that one row alone holds are left out by an exact minimum and
 maximum; a bitmap of fixed size lets through what may be shared, and what slips through is removed by counting.
@@ -143,8 +144,16 @@ def _row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _heads(counts, shared):
-    """Heads of documents: their columns alone, or whole entries of those that the bitmap lets through."""
+def _marked(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    spot = grams % np.uint64(MAP_BITS)
+    return bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def _heads(counts, late, shared):
+    """Heads of documents: their columns alone, or whole entries of those that the bitmap `shared` lets through.
+
+    Columns in the bitmap `late` come after all others.
+    """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, bits = counts.value, None if shared is None else shared.value
@@ -154,12 +163,12 @@ def _heads(counts, shared):
                 for grams in sets:
                     if not len(grams):
                         continue
-                    order = np.lexsort((grams, common[(grams % np.uint64(BUCKETS)).astype(np.int64)]))
+                    keys = [grams, common[(grams % np.uint64(BUCKETS)).astype(np.int64)]]
+                    order = np.lexsort(keys if late is None else [*keys, _marked(grams, late.value)])
                     head = grams[order[: head_length(len(grams))]]
                     place = np.arange(len(head), dtype=np.int32)
                     if bits is not None:
-                        spot = head % np.uint64(MAP_BITS)
-                        may = bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 > 0
+                        may = _marked(head, bits)
                         head, place = head[may], place[may]
                     if len(head):
                         out.append((_digest(grams), len(grams), head, place))
@@ -308,9 +317,9 @@ def _rows(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return found.filter("bucket IS NULL").select("doc_id", "text_hash", "digest", "n"), counts
 
 
-def _shared_map(slim: DataFrame, counts) -> np.ndarray:
+def _shared_map(slim: DataFrame, counts, late=None) -> np.ndarray:
     """One bit for each place of columns that two rows' heads hold."""
-    heads = slim.mapInArrow(_heads(counts, None), "gram long, short long")
+    heads = slim.mapInArrow(_heads(counts, late, None), "gram long, short long")
     several = heads.groupBy("gram").agg(F.min("short").alias("a"), F.max("short").alias("b")).filter("a < b")
     place = F.col("gram").bitwiseAND(F.lit(MAP_BITS - 1))
     word = several.select(F.shiftright(place, 5).cast("int").alias("word"), F.expr("shiftleft(1L, int(gram & 31))").alias("bit"))
@@ -327,8 +336,10 @@ def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FE
     """
     spark = slim.sparkSession
     counted = spark.sparkContext.broadcast(counts)
-    shared = spark.sparkContext.broadcast(_shared_map(slim, counted))
-    heads = slim.mapInArrow(_heads(counted, shared), "gram long, digest binary, n int, place int")
+    # columns that heads were found to share go last, and others take their places in the heads
+    late = spark.sparkContext.broadcast(_shared_map(slim, counted))
+    shared = spark.sparkContext.broadcast(_shared_map(slim, counted, late))
+    heads = slim.mapInArrow(_heads(counted, late, shared), "gram long, digest binary, n int, place int")
     heads = written(heads.groupBy("gram", "digest").agg(F.min("n").alias("n"), F.min("place").alias("place")), "heads")
     many = heads.groupBy("gram").agg(F.count("*").alias("degree")).filter(F.col("degree") > few).select(F.col("gram").alias("many"))
     many = _small(written(many, "crowded-columns"))
