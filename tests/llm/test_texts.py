@@ -105,6 +105,47 @@ def test_licenses(spark):
     assert got[6, len(mit)][0].labels == got[7, len(mit) + 1][0].labels == "mit" and got[8, 6][0].labels == ""
 
 
+def run_in_order(phrase, text):
+    """The most pairs of words of a template that stand in the text in their order, few other words between: by brute force."""
+    grams = lambda w: list(zip(w, w[1:]))
+    t, d = grams(phrase), grams(text)
+    pairs = sorted((place, -at) for place, x in enumerate(d) for at, y in enumerate(t) if x == y)
+    best = 0
+    for low in {(place + at) // licenses.DRIFT + k for place, at in pairs for k in (0, -1)}:
+        votes = [(p, -a) for p, a in pairs if low * licenses.DRIFT <= p + a < (low + 2) * licenses.DRIFT]
+        runs = []
+        for p, a in votes:
+            runs.append(1 + max((n for n, (q, b) in zip(runs, votes) if q < p and b < a), default=0))
+        best = max(best, *runs)
+    return best / len(t)
+
+
+def test_spans_are_verified(spark):
+    rng = random.Random(9)
+    phrases = {label: t.split() for t, label in licenses.TEMPLATES.items()}
+    mit = phrases["mit"]
+    pairs = [mit[i : i + 2] for i in range(0, len(mit) - 1)]
+    texts = [sum((p + ["foreign"] for p in pairs), []), sum((p for p in reversed(pairs)), []), mit[::-1], mit[:9] + ["one", "two"] + mit[9:], mit[:5] + mit[7:], mit * 3, ["x"] * 50 + mit]
+    for _ in range(60):
+        text = list(rng.choice(list(phrases.values())))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 2)] = rng.choice([[], ["odd"], ["odd", "words"], text[:3]])
+        texts.append(text)
+    docs = frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.base_labels) for r in licenses.license_digests(docs).collect()}
+    for i, text in enumerate(texts):
+        want = {label for label, phrase in phrases.items() if run_in_order(phrase, text) >= licenses.LEAST_SHARE}
+        assert got[i][0] - set(got[i][1].split(",")) == want, text
+    assert got[0][0] == got[1][0] == got[2][0] == set() and got[3][0] == got[4][0] == got[5][0] == got[6][0] == {"mit"}
+
+
+def test_licenses_of_a_long_text(spark):
+    text = "all rights reserved and so on " * 40_000
+    [row] = licenses.license_digests(frame(spark, [(1, text)])).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (240_000, 40_000, 0, 239_994)
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
