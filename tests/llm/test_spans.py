@@ -165,7 +165,8 @@ def test_intervals_hold_and_spare_vectors(bits):
     fetched = []
     cluster, n = va_kmeans.assign(codes, lambda at: fetched.extend(at) or whole[at], (least, most), centroids)
     assert (cluster == square.argmin(axis=1)).all() and n == len(fetched)
-    assert bits == 1 or n == 0  # groups far apart are told by their cells alone
+    # groups far apart are told by their cells alone, but for cells that reach from one group to the next
+    assert bits == 1 or n < len(x) // 20
 
 
 def jaccard_model(rows):
