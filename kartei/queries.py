@@ -70,6 +70,22 @@ def card_insert_sql(s: Study) -> DataFrame:
     return s.cards.select("card_id", lines.insert_statement().alias("statement"))
 
 
+@query
+def sentence_file(s: Study) -> DataFrame:
+    """All lines written as a text file, and the sentences read from it."""
+    path = new_folder(s.spark, f"{s.source}-sentence-file")
+    s.lines.select(col("line").alias("value")).write.text(path)
+    return lines.sentence_lines(lines.read_sentence_file(s.spark, path)).select("line")
+
+
+@query
+def insert_file(s: Study) -> DataFrame:
+    """The statements of all cards, as they stand in the file that is written."""
+    path = new_folder(s.spark, f"{s.source}-insert-file")
+    lines.write_insert_statements(s.cards, path)
+    return lines.read_sentence_file(s.spark, path).select(col("line").alias("statement"))
+
+
 @query
 def translate_join(s: Study) -> DataFrame:
     return _translated(s).select("card_id", "line", "translation")

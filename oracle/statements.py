@@ -169,6 +169,8 @@ FROM (SELECT *, coalesce(sum(correct::bigint) OVER (PARTITION BY user_id, deck_i
 }
 
 
+STATEMENTS["sentence_file"] = f"SELECT line FROM ({STATEMENTS['sentence_lines']})"
+STATEMENTS["insert_file"] = f"SELECT statement FROM ({STATEMENTS['card_insert_sql']})"
 STATEMENTS["schedule_by_name"] = f"""SELECT {K}, date_ready, card_learned, card_progress, times_seen, 'sm2' AS scheduler FROM statuses
 UNION ALL SELECT {K}, date_ready, card_learned, card_progress, times_seen, 'naive' AS scheduler FROM ({STATEMENTS['naive_schedule']})"""
 STATEMENTS["judge_by_name"] = f"""SELECT event_id, e.ratio AS exact_ratio, r.exact_ratio AS levenshtein_ratio, case_ratio AS levenshtein_case_ratio,
