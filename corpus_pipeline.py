@@ -4,6 +4,13 @@ Each stage takes all rows that the one before kept. Toxic documents go; lines th
 documents repeat go from all but the first of them, and so do documents that such lines made up whole; one document of each group of
 near-duplicates stays; documents that hold a passage of the benchmark go; the last stage
 gives each document's tokens as counts and digests.
+
+Defined cases, beyond what the stages' modules state: a NULL text goes through as an empty one
+from the second stage on, and of all texts without words one stays. Rows that repeat are
+copies, of which one stays. Rows without a doc_id stay if no row with one has their
+fingerprint. Very long texts are worked on whole. Other columns are carried to the last stage, whatever their names.
+An empty table, of documents, labels or items, gives what the others leave: no rows, no toxic
+documents, no passages.
 """
 
 from __future__ import annotations
