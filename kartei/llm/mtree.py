@@ -14,11 +14,17 @@ Search. Each query first searches its own block, which bounds its k-th distance.
 then visits only blocks whose cell can hold something as near, best page first:
 pages and entries are left out by |d(q, parent) - d(x, parent)| and covering radii,
 which are stored, before any product is computed. Queries of a block are cut into
-groups of `QUERIES`, so no group grows with the input. Products are whole numbers and exact.
+groups of `QUERIES`, so no group grows with the input.
 
-Defined cases: vectors that are NULL, empty, or hold NULL, a non-finite component or one of
-2^20 or more take no part, as entry or query, nor do rows without an id. Vectors of
-different lengths are filled up with zeros. Rows that repeat an id are different entries if their vectors
+Numbers. Whole components are kept as doubles, which hold floor(256 * x) exactly. Products are
+summed as doubles while no sum can pass 2^52, as 64-bit integers up to 2^62, and as Python integers
+beyond that; distances only choose what is multiplied, with a slack above their rounding. Results are
+ordered by exact products of any size, as bytes of a width that holds the largest.
+
+Defined cases: vectors that are NULL, empty, or hold NULL or a non-finite component (256 * x must be a
+finite double too) take no part, as entry or query, nor do rows without an id. A product beyond a long is
+ranked by its exact value and shown as the nearest long. Long vectors are whole. An empty table gives no
+rows. Ties go to smaller ids. Vectors of different lengths are filled up with zeros. Rows that repeat an id are different entries if their vectors
 differ; a query never finds its own id. Other columns are ignored.
 """
 
@@ -43,15 +49,17 @@ PAGE = 64
 QUERIES = 4_096
 #: Components are multiplied by this and rounded down.
 SCALE = 256
-LARGEST = 1 << 20
+LONG = (1 << 63) - 1
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
     """vec_id and v, the whole-numbered components, of the rows that take part."""
-    wide = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
+    # doubles of 2^53 and more are whole already, and may be too large for a long
+    whole = lambda y: F.when(F.abs(y) < 1 << 53, F.floor(y).cast("double")).otherwise(y)
+    wide = F.transform("embedding", lambda x: whole(x.cast("double") * SCALE))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
     usable = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter((F.size("embedding") > 0) & F.coalesce(fine, F.lit(False)))
-    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), wide.cast("array<long>").alias("v"))
+    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("v"))
 
 
 def _matrix(vectors, dims: int) -> np.ndarray:
@@ -62,12 +70,22 @@ def _matrix(vectors, dims: int) -> np.ndarray:
 
 
 class Space:
-    """Distances of entries from each other and from queries, for a common largest length."""
-
-    def __init__(self, dims: int, square: float):
-        self.dims, self.square = dims, square
-        #: Whether sums of products are whole numbers that a double holds.
-        self.exact = square < 1 << 52
+    """Distances of entries from each other and from queries, for a common largest length.
+
+    `square` bounds the sums of squares and `largest` the size of components. Matrices are in units of
+    `unit`, a power of two that is 1 unless squares pass what a double holds.
+    """
+
+    def __init__(self, dims: int, square: float, largest: float):
+        self.dims, self.unit = dims, 1.0
+        #: Bytes of the largest product and its sign.
+        self.width = (2 * max(int(largest), 1).bit_length() + dims.bit_length()) // 8 + 1
+        #: Whether sums of products are whole numbers that a double, or else an int64, holds.
+        self.exact, self.wide = square < 1 << 52, square < 1 << 62
+        if not square < 1e300:
+            self.unit = 2.0 ** min(int(largest).bit_length(), 1023)
+            square = 4.0 * dims
+        self.square = square
         #: More than any rounding can add to a distance.
         self.slack = 1e-6 * max(square, 1.0) ** 0.5 + 1e-6
 
@@ -78,6 +96,31 @@ class Space:
         product = x @ y.T + self.extra(x)[:, None] * self.extra(y)[None, :]
         return np.sqrt(np.maximum(2 * self.square - 2 * product, 0))
 
+    def matrix(self, vectors) -> np.ndarray:
+        return _matrix(vectors, self.dims) / self.unit
+
+    def given(self, x: np.ndarray) -> np.ndarray:
+        """The components as they were before they were put in units."""
+        return x * self.unit
+
+    def products(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """The exact product of each row of x with y, both in units."""
+        if self.wide:
+            return (x.astype(np.int64) @ y.astype(np.int64)).tolist()
+        y = [int(b) for b in self.given(y).tolist()]
+        return [sum(int(a) * b for a, b in zip(row, y) if a) for row in self.given(x).tolist()]
+
+    def key(self, score: int) -> bytes:
+        """Bytes that are ordered as the scores are."""
+        return (score + (1 << 8 * self.width - 1)).to_bytes(self.width, "big")
+
+    def score(self, key: bytes) -> int:
+        return int.from_bytes(key, "big") - (1 << 8 * self.width - 1)
+
+    def in_units(self, score: int) -> float:
+        exponent = int(self.unit).bit_length() - 1
+        return float(score) if not exponent else score / (1 << 2 * exponent)
+
     def distance(self, length_square, product):
         """Of a query from entries with these products."""
         return np.sqrt(np.maximum(length_square + self.square - 2 * product, 0))
@@ -99,7 +142,7 @@ def choose_pivots(sample: np.ndarray, n: int, space: Space) -> np.ndarray:
 def _assigner(pivots: np.ndarray, space: Space):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            far = space.between(_matrix(batch.column(0).to_pylist(), space.dims), pivots)
+            far = space.between(space.matrix(batch.column(0).to_pylist()), pivots)
             cell = far.argmin(axis=1) if len(far) else np.empty(0, np.int64)
             near = far[np.arange(len(far)), cell]
             columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(near)]
@@ -109,8 +152,8 @@ def _assigner(pivots: np.ndarray, space: Space):
 
 
 PAGE_SCHEMA = (
-    "cell int, slice int, page int, router array<long>, router_distance double, radius double, "
-    "vectors array<array<long>>, ids array<array<long>>, parent_distances array<double>"
+    "cell int, slice int, page int, router array<double>, router_distance double, radius double, "
+    "vectors array<array<double>>, ids array<array<long>>, parent_distances array<double>"
 )
 
 
@@ -118,7 +161,7 @@ def _page_builder(pivots: np.ndarray, space: Space):
     def build(block: pd.DataFrame) -> pd.DataFrame:
         """Pages of one block: routers farthest first, entries with their nearest, full pages cut by distance."""
         block = block.sort_values("ids", key=lambda s: s.map(lambda x: x[0]), ignore_index=True)
-        x = _matrix(block["v"].tolist(), space.dims)
+        x = space.matrix(block["v"].tolist())
         cell, slice_ = int(block["cell"].iloc[0]), int(block["slice"].iloc[0])
         routers = choose_pivots(x, max(1, -(-len(x) // PAGE)), space)
         far = space.between(x, routers)
@@ -130,10 +173,10 @@ def _page_builder(pivots: np.ndarray, space: Space):
             for first in range(0, len(of), PAGE):
                 some = of[first : first + PAGE]
                 rows.append(
-                    (cell, slice_, len(rows), routers[r].astype(np.int64).tolist(), float(space.between(routers[r : r + 1], pivots[cell : cell + 1])[0, 0]),
-                     float(far[some, r].max()), [x[i].astype(np.int64).tolist() for i in some], [list(block["ids"].iloc[i]) for i in some], far[some, r].tolist())
+                    (cell, slice_, len(rows), space.given(routers[r]).tolist(), float(space.between(routers[r : r + 1], pivots[cell : cell + 1])[0, 0]),
+                     float(far[some, r].max()), space.given(x[some]).tolist(), [list(block["ids"].iloc[i]) for i in some], far[some, r].tolist())
                 )
-        names = [c.split()[0] for c in PAGE_SCHEMA.replace("array<array<long>>", "a").replace("array<long>", "a").replace("array<double>", "a").split(", ")]
+        names = [c.split()[0] for c in PAGE_SCHEMA.split(", ")]
         return pd.DataFrame(rows, columns=names)
 
     return build
@@ -146,9 +189,9 @@ class Best:
         self.k = k
         self.scores: list[list[tuple[int, int]]] = [[] for _ in range(n)]
 
-    def add(self, q: int, scores: np.ndarray, ids: list[list[int]]) -> None:
+    def add(self, q: int, scores: list[float] | list[int], ids: list[list[int]]) -> None:
         rows = self.scores[q]
-        rows.extend((-int(s), i) for s, group in zip(scores.tolist(), ids) for i in group)
+        rows.extend((-int(s), i) for s, group in zip(scores, ids) for i in group)
         rows.sort()
         del rows[self.k :]
 
@@ -157,9 +200,9 @@ def search_block(pages: pd.DataFrame, queries: np.ndarray, bounds: np.ndarray, p
     """For each query the k best entries of a block that may be nearer than its bound: (-score, id) pairs."""
     square = (queries * queries).sum(axis=1)
     to_pivot = space.distance(square, queries @ pivot)
-    routers = _matrix(pages["router"].tolist(), space.dims)
+    routers = space.matrix(pages["router"].tolist())
     from_pivot, radius = pages["router_distance"].to_numpy(), pages["radius"].to_numpy()
-    leaves = [(_matrix(v, space.dims), np.array(d, float), [list(i) for i in ids]) for v, d, ids in zip(pages["vectors"], pages["parent_distances"], pages["ids"])]
+    leaves = [(space.matrix(v), np.array(d, float), [list(i) for i in ids]) for v, d, ids in zip(pages["vectors"], pages["parent_distances"], pages["ids"])]
     # parent distances first: routers that they rule out are never multiplied
     low = np.abs(to_pivot[:, None] - from_pivot[None, :]) - radius[None, :]
     open_ = low <= bounds[:, None] + space.slack
@@ -187,12 +230,10 @@ def search_block(pages: pd.DataFrame, queries: np.ndarray, bounds: np.ndarray, p
                 for row, q in enumerate(of.tolist()):
                     use = near[row, cols] & (space.distance(square[q], products[row]) <= kth[q] + space.slack)
                     if use.any():
-                        scores = products[row, use]
-                        if not space.exact:
-                            scores = vectors[cols[use]].astype(np.int64) @ queries[q].astype(np.int64)
+                        scores = products[row, use].tolist() if space.exact else space.products(vectors[cols[use]], queries[q])
                         best.add(q, scores, [ids[c] for c in cols[use]])
                         if len(best.scores[q]) == k:
-                            kth[q] = min(kth[q], float(space.distance(square[q], -best.scores[q][-1][0])))
+                            kth[q] = min(kth[q], float(space.distance(square[q], space.in_units(-best.scores[q][-1][0]))))
             low[of, p] = np.inf
     return best.scores
 
@@ -200,10 +241,10 @@ def search_block(pages: pd.DataFrame, queries: np.ndarray, bounds: np.ndarray, p
 def _searcher(pivots: np.ndarray, space: Space, k: int):
     def search(pages: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(pages) or not len(asked):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64")})
-        queries = _matrix(asked["v"].tolist(), space.dims)
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "score": pd.Series(dtype="object"), "vec_id": pd.Series(dtype="int64")})
+        queries = space.matrix(asked["v"].tolist())
         found = search_block(pages, queries, asked["bound"].to_numpy(float), pivots[int(pages["cell"].iloc[0])], space, k)
-        rows = [(q, -s, i) for q, best in zip(asked["q"].tolist(), found) for s, i in best]
+        rows = [(q, space.key(-s), i) for q, best in zip(asked["q"].tolist(), found) for s, i in best]
         return pd.DataFrame(rows, columns=["q", "score", "vec_id"])
 
     return search
@@ -213,7 +254,7 @@ def _cells_of(pivots: np.ndarray, radii: np.ndarray, space: Space):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells that may hold something within a query's bound."""
         for batch in parts:
-            x = _matrix(batch.column(1).to_pylist(), space.dims)
+            x = space.matrix(batch.column(1).to_pylist())
             bound = batch.column(2).to_numpy(zero_copy_only=False)
             far = space.distance((x * x).sum(axis=1)[:, None], x @ pivots.T)
             row, cell = np.nonzero((far - radii[None, :] <= bound[:, None] + space.slack) & (radii[None, :] >= 0))
@@ -223,6 +264,29 @@ def _cells_of(pivots: np.ndarray, radii: np.ndarray, space: Space):
     return batches
 
 
+def _reaches(space: Space):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distance of each query's worst result so far, without a limit where there are too few."""
+        for batch in parts:
+            x = space.matrix(batch.column(1).to_pylist())
+            worst = [space.in_units(space.score(w)) if w is not None else -np.inf for w in batch.column(4).to_pylist()]
+            bound = space.distance((x * x).sum(axis=1), np.array(worst, float))
+            q, v, cell, slice_ = batch.columns[:4]
+            yield pa.RecordBatch.from_arrays([q, v, pa.array(bound), cell, slice_], ["q", "v", "bound", "own_cell", "own_slice"])
+
+    return batches
+
+
+def _shown(space: Space):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores as longs."""
+        for batch in parts:
+            scores = [max(-LONG - 1, min(LONG, space.score(key))) for key in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64())], ["query_id", "rank", "vec_id", "score"])
+
+    return batches
+
+
 def _k_smallest_ids(vectors: DataFrame, k: int) -> DataFrame:
     """v and ids: the k smallest ids of each different vector; no group is collected before it is cut."""
     first = Window.partitionBy("v").orderBy("vec_id")
@@ -236,16 +300,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ready(spark)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = written(vectors, "vectors")
-    about = vectors.select(F.size("v").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).alias("s"))
-    about = about.agg(F.max("n").alias("n"), F.max("s").alias("s"), F.count("*").alias("rows")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    about = vectors.select(F.size("v").alias("n"), square.alias("s"), F.array_max(F.transform("v", F.abs)).alias("x"))
+    about = about.agg(F.max("n").alias("n"), F.max("s").alias("s"), F.max("x").alias("x"), F.count("*").alias("rows")).first()
     if not about["rows"]:
         return empty
-    space = Space(about["n"], float(about["s"]))
+    space = Space(about["n"], about["s"], about["x"])
     entries = _k_smallest_ids(vectors, k + 1)
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     n_cells = min(CELLS, max(1, int(about["rows"] / BLOCK) * 2))
-    pivots = choose_pivots(_matrix([r.v for r in drawn], space.dims), n_cells, space)
-    placed = written(entries.mapInArrow(_assigner(pivots, space), "v array<long>, ids array<long>, cell int, parent_distance double"), "cells")
+    pivots = choose_pivots(space.matrix([r.v for r in drawn]), n_cells, space)
+    placed = written(entries.mapInArrow(_assigner(pivots, space), "v array<double>, ids array<long>, cell int, parent_distance double"), "cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("parent_distance").alias("radius"))
     sizes = cells.withColumn("slices", F.ceil(F.col("n") / BLOCK).cast("int")).select("cell", "slices", "radius").collect()  # at most CELLS rows
     radii = np.full(len(pivots), -1.0)
@@ -260,27 +325,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pages = written(blocks.groupBy("cell", "slice").applyInPandas(_page_builder(pivots, space), PAGE_SCHEMA), "pages")
 
     # equal query vectors are searched once; k + 1 results leave k when the query's own id goes
-    asked = written(queries.select("v").distinct().withColumn("q", F.xxhash64("v")), "queries")
-    own = in_slice(asked.select("v", "q").mapInArrow(_assigner(pivots, space), "v array<long>, q long, cell int, parent_distance double"))
+    asked = written(queries.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    own = in_slice(asked.select("v", "q").mapInArrow(_assigner(pivots, space), "v array<double>, q long, cell int, parent_distance double"))
     own = own.select("q", "v", F.lit(float("inf")).alias("bound"), "cell", "slice")
     own = written(own, "own-blocks")
     first = written(_search(pages, own, pivots, space, k + 1), "first-search")
     kth = first.groupBy("q").agg(F.min("score").alias("worst"), F.count("*").alias("n")).filter(F.col("n") > k)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double")
     bounded = own.select("q", "v", F.col("cell").alias("own_cell"), F.col("slice").alias("own_slice")).join(kth, "q", "left")
-    reach = F.sqrt(F.greatest(square + F.lit(space.square) - 2 * F.col("worst"), F.lit(0.0)))
-    bounded = bounded.select("q", "v", F.when(F.col("worst").isNull(), float("inf")).otherwise(reach).alias("bound"), "own_cell", "own_slice")
-    visits = bounded.mapInArrow(_cells_of(pivots, radii, space), "q long, v array<long>, bound double, own_cell int, own_slice int, cell int")
+    bounded = bounded.select("q", "v", "own_cell", "own_slice", "worst")
+    bounded = bounded.mapInArrow(_reaches(space), "q long, v array<double>, bound double, own_cell int, own_slice int")
+    visits = bounded.mapInArrow(_cells_of(pivots, radii, space), "q long, v array<double>, bound double, own_cell int, own_slice int, cell int")
     visits = visits.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     visits = visits.filter((F.col("cell") != F.col("own_cell")) | (F.col("slice") != F.col("own_slice"))).select("q", "v", "bound", "cell", "slice")
     rest = _search(pages, visits, pivots, space, k + 1)
     by_score = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     best = first.union(rest).withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 1).drop("n")
-    ids = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q"))
+    ids = queries.select(F.col("vec_id").alias("query_id"), "v").join(asked, "v").select("query_id", "q")
     by_rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     out = ids.join(best, "q").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     out = out.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.mapInArrow(_shown(space), "query_id long, rank int, vec_id long, score long")
 
 
 def _search(pages: DataFrame, asked: DataFrame, pivots: np.ndarray, space: Space, k: int) -> DataFrame:
@@ -289,7 +354,7 @@ def _search(pages: DataFrame, asked: DataFrame, pivots: np.ndarray, space: Space
     per_page = pages.join(groups, ["cell", "slice"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     per_query = asked.join(groups, ["cell", "slice"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("groups")).cast("int")).drop("groups")
     keys = ["cell", "slice", "part"]
-    return per_page.groupBy(*keys).cogroup(per_query.groupBy(*keys)).applyInPandas(_searcher(pivots, space, k), "q long, score long, vec_id long")
+    return per_page.groupBy(*keys).cogroup(per_query.groupBy(*keys)).applyInPandas(_searcher(pivots, space, k), "q long, score binary, vec_id long")
 
 
 def embedding_top_k(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:

@@ -188,7 +188,7 @@ def model_top_k(rows, k, every):
     for q, v in usable:
         if q % every == 0:
             best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q)[:k]
-            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+            want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
     return want
 
 
@@ -206,6 +206,25 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted(got) == sorted(model_top_k(rows, 5, 10))
 
 
+@pytest.mark.parametrize("dims, size", [(384, 2.0**11), (384, 2.0**22), (4, 2.0**14), (4, 2.0**32), (5, 1e160), (3, 1e300)])
+def test_top_k_of_large_components(spark, monkeypatch, dims, size):
+    monkeypatch.setattr(mtree, "BLOCK", 16)
+    monkeypatch.setattr(mtree, "PAGE", 4)
+    rng = random.Random(dims)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(dims)]) for i in range(60)]
+    rows += [(70 + i, [x / size for x in rows[i][1]]) for i in range(10)] + [(80, rows[0][1]), (90, [1.7e308] * dims)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in mtree.embedding_top_k(table, every=10).collect()]
+    assert sorted(got) == sorted(model_top_k(rows[:-1], 5, 10))
+
+
+def test_top_k_keeps_products_exact_where_doubles_do_not(spark):
+    near = 2.0**30
+    rows = [(0, [near, 1 / 256]), *((i, [near, i / 256]) for i in range(1, 20))]
+    got = [tuple(r) for r in mtree.embedding_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).collect()]
+    assert [r[2] for r in sorted(got)] == [19, 18, 17, 16, 15]
+
+
 def test_empty_tables(spark):
     docs, items = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
     some = frame(spark, [(1, "a few words")])
