@@ -9,35 +9,41 @@ cores is the join of two chunks, and is encoded again with its neighbours' edges
 from safe place to safe place, so the whole is exactly the encoding of the whole text.
 
 Documents are dealt out by their smallest chunk hash, so copies meet in a task and
-share their chunks; each such group is spread over `SPREAD` tasks, so that a very
-large group is not one task. The memory of chunks is bounded and
-starts anew when it is full: that changes the work, not the result.
+share their chunks. The bytes of each such group are counted first: a group of more than
+`GROUP` bytes (of a `MOST_SPLIT`-th of all bytes, if that is more, so at most `MOST_SPLIT` groups
+are and their table is small) is spread over as many tasks as its size asks for. The memory of
+chunks is bounded and starts anew when it is full: that changes the work, not the result.
 
 The vocabulary's path is a parameter; each Python worker loads it once. The merges
 are made by a library that has the same vocabulary and merge ranks, which is
 several times as fast as the one that defines the format (tests compare them).
 
 Defined cases: a NULL text is empty and has no tokens. Repeated rows each give a
-row. Special tokens that stand in a text are encoded as such. Other columns are ignored.
+row, also those without doc_id. Special tokens that stand in a text are encoded as such. Other columns are
+ignored. Long texts are whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartei.llm.tasks import ready
+from kartei.plans.storage import written
 
 #: One cut in so many bytes, on average.
 CHUNK = 1024
-SPREAD = 8
+#: Groups of more bytes are spread over several tasks, the largest so many of them.
+GROUP, MOST_SPLIT = 16 << 20, 10_000
 #: A task remembers so many cores at most, and none of more bytes.
 MOST_CORES, LONGEST_CORE = 16_384, 4_096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -175,15 +181,43 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, rows)
 
 
-def _sketches(chunk: int):
+def _place(data: bytes, chunk: int) -> int:
+    """Equal for copies, and for most texts that share passages: the smallest chunk hash, or that of a text without cuts."""
+    hashes = cuts(np.frombuffer(data, np.uint8), chunk)[1]
+    return int(hashes.min()) >> 1 if len(hashes) else xxhash.xxh64_intdigest(data) >> 1
+
+
+def _places(chunk: int):
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id and text with their place, and a number that tells rows apart which are alike in all else."""
+        alike: Counter[int] = Counter()
+        for batch in parts:
+            for few in _slices(batch):
+                places, numbers = [], []
+                for doc_id, text in zip(few.column(0).to_pylist(), few.column(1).to_pylist()):
+                    data = (text or "").encode("utf-8", "replace")
+                    places.append(_place(data, chunk))
+                    # rows without an id are numbered among equal texts of the task, so a repeated task deals them alike
+                    number = 0
+                    if doc_id is None:
+                        same = xxhash.xxh64_intdigest(data)
+                        number = alike[same]
+                        alike[same] += 1
+                    numbers.append(number)
+                columns = [few.column(0), few.column(1), pa.array(places, pa.int64()), pa.array(numbers, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "place", "number"])
+
+    return batches
+
+
+def _sizes(chunk: int):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for few in _slices(batch):
-                found = []
-                for text in few.column(1).to_pylist():
-                    hashes = cuts(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8), chunk)[1]
-                    found.append(int(hashes.min()) >> 1 if len(hashes) else None)
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(found, pa.int64())], ["doc_id", "text", "sketch"])
+                data = [(text or "").encode("utf-8", "replace") for text in few.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_place(x, chunk) for x in data], pa.int64()), pa.array([len(x) + 1 for x in data], pa.int64())], ["place", "size"]
+                )
 
     return batches
 
@@ -192,11 +226,13 @@ def _together(docs: DataFrame, chunk: int) -> DataFrame:
     """doc_id and text, with copies close to each other."""
     ready(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = slim.mapInArrow(_sketches(chunk), "doc_id long, text string, sketch long")
-    # texts without a cut are short, and dealt out by themselves
-    place = F.coalesce("sketch", F.xxhash64("text"))
-    dealt = marked.repartition(place, F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
-    return dealt.select("doc_id", "text")
+    sizes = slim.select("text").mapInArrow(_sizes(chunk), "place long, size long").groupBy("place").agg(F.sum("size").alias("size"))
+    sizes = written(sizes, "bpe-groups")
+    limit = max(GROUP, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // MOST_SPLIT))
+    large = sizes.filter(F.col("size") > limit).select("place", F.ceil(F.col("size") / limit).alias("tasks"))
+    marked = slim.mapInArrow(_places(chunk), "doc_id long, text string, place long, number long").join(F.broadcast(large), "place", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "number", "text"), F.coalesce("tasks", F.lit(1)))
+    return marked.repartition("place", salt).select("doc_id", "text")
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kartei.llm import bpe, decontaminate, licenses, line_dedup, mtree, token_counts
 
@@ -192,6 +193,22 @@ def model_top_k(rows, k, every):
     return want
 
 
+def test_bpe_deals_large_groups_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP", 2_000)
+    text = "one text of many copies " * 4
+    docs = frame(spark, [(None if i % 2 else i, text) for i in range(400)] + [(1_000, "another"), (1_001, None), (None, "")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = bpe._together(docs, bpe.CHUNK).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in tasks) < 200
+    got = bpe.bpe_digests(docs).groupBy("doc_id", "n_tokens").count().collect()
+    n = len(bpe.encoding(bpe.default_vocabulary()).encode_ordinary(text))
+    assert {(r.doc_id, r.n_tokens): r["count"] for r in got if r.doc_id is None} == {(None, n): 200, (None, 0): 1}
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [*range(0, 400, 2), 1_000, 1_001]
+
+
 @pytest.mark.parametrize("block", [mtree.BLOCK, 12])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(mtree, "BLOCK", block)
