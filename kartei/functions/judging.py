@@ -160,6 +160,40 @@ def with_ratio(rows: DataFrame, name: str, case_insensitive: bool = True, umlaut
     return keyed.withColumn(name, ratio).drop(*keys)
 
 
+#: The pairs of switches (case, umlaut).
+MODES = [(case, umlaut) for case in (False, True) for umlaut in (False, True)]
+
+
+@lru_cache(maxsize=8)
+def _ratios_of_pairs(application: str) -> Column:
+    return F.transform(F.col("_pairs"), lambda pair: ratio_of_keys(pair["answer"], pair["guess"]))
+
+
+def with_ratios(rows: DataFrame, modes: dict[str, tuple[bool, bool]]) -> DataFrame:
+    """Add a ratio of ``answer`` and ``guess`` for each named pair of switches.
+
+    Most texts hold few capitals and umlauts, so the modes often compare the same
+    two keys: each different pair of keys is judged once, and in one expression for all.
+    """
+    pairs = [
+        F.struct(
+            match_key(F.col("answer"), *switches).alias("answer"), match_key(F.col("guess"), *switches).alias("guess")
+        )
+        for switches in modes.values()
+    ]
+    every = F.array(*pairs)
+    rated = (
+        rows.withColumn("_keys", every)
+        .withColumn("_pairs", F.array_distinct("_keys"))
+        .withColumn("_ratios", _ratios_of_pairs(rows.sparkSession.sparkContext.applicationId))
+    )
+    found = {
+        name: F.get("_ratios", (F.array_position("_pairs", F.get("_keys", F.lit(at))) - 1).cast("int"))
+        for at, name in enumerate(modes)
+    }
+    return rated.withColumns(found).drop("_keys", "_pairs", "_ratios")
+
+
 def answer_ratio(
     answer: Column, guess: Column, case_insensitive: bool = True, umlaut_insensitive: bool = True
 ) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartei.functions.text import STATUS_OK, marked_word, marker_status, redacted_prompt
-from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize, join_on_hot_keys
 
 
 def with_derived(cards: DataFrame) -> DataFrame:
@@ -44,5 +43,5 @@ def sample_rows(rows: DataFrame, key: str, count: int, seed: int = 0, order: Col
     return rows.orderBy(shuffled, key).limit(count)
 
 
-def attach_cards(facts: DataFrame, cards: DataFrame, identity: tuple[str, ...], size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
-    return join_on_hot_keys(facts, with_derived(cards), "card_id", "inner", identity, size)
+def attach_cards(facts: DataFrame, cards: DataFrame) -> DataFrame:
+    return facts.join(with_derived(cards), "card_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartei.functions.text import blank_out_word, mark_word, translated_word, unmark_translation
-from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize, join_on_hot_keys, number_rows
+from kartei.plans.chunks import number_rows
 from kartei.sources.lines import TARGET_LANG
 
 # Letters and digits make words; everything else separates them.
@@ -37,33 +37,27 @@ def distinct_words(found: DataFrame) -> DataFrame:
     return found.select("word").distinct()
 
 
-def number_words(words: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def number_words(words: DataFrame) -> DataFrame:
     """Dense ids from 1 in word order. Numbering reads ``words`` more than once: give a stored table."""
-    return number_rows(words, ["word"], "_n", size).select((F.col("_n") + 1).alias("word_id"), "word")
+    return number_rows(words, ["word"], "_n").select((F.col("_n") + 1).alias("word_id"), "word")
 
 
-def word_positions(found: DataFrame, words: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
-    """Every occurrence of every word. Words are skewed by nature, so hot ones are joined apart."""
-    joined = join_on_hot_keys(found, words, "word", "inner", ("sentence_id", "position"), size)
-    return joined.select("word_id", "sentence_id", "position")
+def word_positions(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Every occurrence of every word. Words are skewed by nature: adaptive execution splits the hot ones."""
+    return found.join(words, "word").select("word_id", "sentence_id", "position")
 
 
-def _identity() -> tuple[str, str]:
-    return ("sentence_id", "position")
-
-
-def sentences_with_word(index: WordIndex, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def sentences_with_word(index: WordIndex) -> DataFrame:
     """For every word the ids of the sentences it occurs in, once per occurrence."""
-    joined = join_on_hot_keys(index.positions, index.words, "word_id", "inner", _identity(), size)
-    return joined.select("word", "sentence_id")
+    return index.positions.join(index.words, "word_id").select("word", "sentence_id")
 
 
-def word_by_id(ids: DataFrame, words: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
-    return join_on_hot_keys(ids, words, "word_id", "inner", _identity(), size)
+def word_by_id(ids: DataFrame, words: DataFrame) -> DataFrame:
+    return ids.join(words, "word_id")
 
 
-def sentence_by_id(ids: DataFrame, sentences: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
-    return join_on_hot_keys(ids, sentences, "sentence_id", "inner", ("sentence_id",), size)
+def sentence_by_id(ids: DataFrame, sentences: DataFrame) -> DataFrame:
+    return ids.join(sentences, "sentence_id")
 
 
 def seeded_order(seed: int = 0) -> Column:
@@ -71,21 +65,17 @@ def seeded_order(seed: int = 0) -> Column:
     return F.xxhash64("word_id", "sentence_id", "position", F.lit(seed))
 
 
-def word_sentence_sample(index: WordIndex, order: Column | None = None, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def word_sentence_sample(index: WordIndex, order: Column | None = None) -> DataFrame:
     """One pseudo-random occurrence of each word, with word and sentence.
 
-    A minimum per word combines before the shuffle, however common the word. The
-    rows are then few and narrow, but each gets a whole sentence and often a
-    pattern search, so they are spread over a fixed number of tasks.
+    A minimum per word combines before the shuffle, however common the word.
     """
-    tasks = int(index.positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = F.struct(
         (seeded_order() if order is None else order).alias("rank"), "sentence_id", "position"
     )
     chosen = index.positions.groupBy("word_id").agg(F.min(ranked).alias("_c"))
     rows = chosen.select("word_id", "_c.sentence_id", "_c.position").join(index.words, "word_id")
-    rows = rows.repartition(tasks, "word_id")
-    return join_on_hot_keys(rows, index.sentences, "sentence_id", "inner", ("word_id",), size)
+    return rows.join(index.sentences, "sentence_id")
 
 
 def candidate_cards(
@@ -93,14 +83,13 @@ def candidate_cards(
     translations: DataFrame | None = None,
     target_lang: str = TARGET_LANG,
     order: Column | None = None,
-    size: ChunkSize = DEFAULT_SIZE,
 ) -> DataFrame:
     """A card candidate for every word: blanked prompt, answer, and its translation.
 
     Without a translations table both translation fields say so. With one, a
     sentence that is not in it leaves them NULL.
     """
-    drawn = word_sentence_sample(index, order, size)
+    drawn = word_sentence_sample(index, order)
     sentence, word = F.col("sentence"), F.col("word")
     cards = drawn.select(
         "word_id",
@@ -115,7 +104,7 @@ def candidate_cards(
     table = translations.where(F.col("target_lang") == target_lang).select(
         F.col("sentence").alias("marked_sentence"), "translation"
     )
-    translated = join_on_hot_keys(cards, table, "marked_sentence", "left", ("word_id",), size)
+    translated = cards.join(table, "marked_sentence", "left")
     found = F.col("translation")
     return translated.withColumns(
         {"word_translation": translated_word(found), "full_translation": unmark_translation(found)}

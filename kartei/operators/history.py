@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kartei.functions.judging import is_correct
 from kartei.operators.cards import answers
-from kartei.plans.chunks import DEFAULT_SIZE, Chunked, ChunkSize, join_on_hot_keys, split_groups
+from kartei.plans.chunks import DEFAULT_SIZE, Chunked, ChunkSize, split_groups
 
 DECK = ["user_id", "deck_id"]
 CARD = ["user_id", "deck_id", "card_id"]
@@ -40,9 +40,9 @@ def actions_today(history: DataFrame, as_of: str | Column) -> DataFrame:
     return history.where(_when(history) == _day(as_of))
 
 
-def deck_actions(history: DataFrame, decks: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def deck_actions(history: DataFrame, decks: DataFrame) -> DataFrame:
     """All actions of the given (user, deck) pairs."""
-    return join_on_hot_keys(history, decks.select(*DECK).distinct(), DECK, "left_semi", ("event_id",), size)
+    return history.join(decks.select(*DECK), DECK, "left_semi")
 
 
 def times_answered(history: DataFrame) -> DataFrame:
@@ -54,10 +54,9 @@ def judged_actions(
     history: DataFrame,
     cards: DataFrame,
     judge: Callable[[Column, Column], Column] = is_correct,
-    size: ChunkSize = DEFAULT_SIZE,
 ) -> DataFrame:
     """Each action with its answer and verdict; actions on missing cards are skipped."""
-    joined = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
+    joined = history.join(answers(cards), "card_id")
     return joined.withColumn("correct", judge(F.col("answer"), F.col("guess")))
 
 
@@ -65,18 +64,17 @@ def judged_actions_strict(
     history: DataFrame,
     cards: DataFrame,
     judge: Callable[[Column, Column], Column] = is_correct,
-    size: ChunkSize = DEFAULT_SIZE,
 ) -> DataFrame:
     """The same, but an action on a missing card fails the job."""
-    joined = join_on_hot_keys(history, answers(cards), "card_id", "left", ("event_id",), size)
+    joined = history.join(answers(cards), "card_id", "left")
     missing = F.raise_error(F.concat(F.lit("no card "), F.col("card_id").cast("string")))
     answer = F.when(F.col("answer").isNull(), missing).otherwise(F.col("answer"))
     return joined.withColumn("answer", answer).withColumn("correct", judge(F.col("answer"), F.col("guess")))
 
 
-def orphan_actions(history: DataFrame, cards: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def orphan_actions(history: DataFrame, cards: DataFrame) -> DataFrame:
     """Actions on cards that do not exist."""
-    return join_on_hot_keys(history, cards.select("card_id"), "card_id", "left_anti", ("event_id",), size)
+    return history.join(cards, "card_id", "left_anti")
 
 
 def split_history(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kartei.operators.cards import attach_cards
 from kartei.operators.history import CARD, DECK
-from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize
 
 # Progress at which the due filter takes a card for learned, and
 # the progress of an inactive card.
@@ -39,11 +38,9 @@ def next_due_card(decks: DataFrame, as_of: str | Column, count: int = 1) -> Data
     return due_cards(decks, as_of).withColumn("place", F.row_number().over(queue)).where(F.col("place") <= count)
 
 
-def due_card_content(
-    decks: DataFrame, cards: DataFrame, as_of: str | Column, count: int = 1, size: ChunkSize = DEFAULT_SIZE
-) -> DataFrame:
+def due_card_content(decks: DataFrame, cards: DataFrame, as_of: str | Column, count: int = 1) -> DataFrame:
     """The next cards with their redacted prompts and answers; missing cards are skipped."""
-    return attach_cards(next_due_card(decks, as_of, count), cards, tuple(DECK), size)
+    return attach_cards(next_due_card(decks, as_of, count), cards)
 
 
 def status_lookup(decks: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartei.functions.judging import JUDGES, quality, with_ratio
+from kartei.functions.judging import JUDGES, MODES, quality, with_ratio, with_ratios
 from kartei.functions.scheduling import (
     LEARNED_AT,
     NAIVE_LEARNED_AT,
@@ -27,8 +27,7 @@ from kartei.functions.scheduling import (
 )
 from kartei.operators.cards import answers
 from kartei.operators.history import CARD, DECK, ORDER
-from kartei.plans.chunks import CHUNK, DEFAULT_SIZE, Chunked, ChunkSize, join_on_hot_keys, split_groups
-from kartei.sources.sinks import to_second
+from kartei.plans.chunks import CHUNK, DEFAULT_SIZE, Chunked, ChunkSize, split_groups
 
 STATE_FIELDS = ["ease_factor", "interval", "is_learned", "progress", "times_seen"]
 _STRETCHES = "_stretches"
@@ -39,11 +38,10 @@ def graded_actions(
     cards: DataFrame,
     case_insensitive: bool = True,
     umlaut_insensitive: bool = True,
-    size: ChunkSize = DEFAULT_SIZE,
     judge: str | None = None,
 ) -> DataFrame:
     """The history with ``ratio`` and ``grade`` of every guess; a named judge takes the place of the two switches."""
-    joined = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
+    joined = history.join(answers(cards), "card_id")
     if judge is None:
         rated = with_ratio(joined, "ratio", case_insensitive, umlaut_insensitive)
     else:
@@ -51,12 +49,11 @@ def graded_actions(
     return rated.withColumn("grade", quality(F.col("ratio")))
 
 
-def graded_in_all_modes(history: DataFrame, cards: DataFrame, size: ChunkSize = DEFAULT_SIZE) -> DataFrame:
+def graded_in_all_modes(history: DataFrame, cards: DataFrame) -> DataFrame:
     """Four rows per action, one for each pair of judge switches."""
-    rated = join_on_hot_keys(history, answers(cards), "card_id", "inner", ("event_id",), size)
-    modes = {f"_ratio_{int(case)}{int(umlaut)}": (case, umlaut) for case in (False, True) for umlaut in (False, True)}
-    for name, switches in modes.items():
-        rated = with_ratio(rated, name, *switches)
+    rated = history.join(answers(cards), "card_id")
+    modes = {f"_ratio_{int(case)}{int(umlaut)}": (case, umlaut) for case, umlaut in MODES}
+    rated = with_ratios(rated, modes)
     entries = [
         F.struct(
             F.lit(case).alias("case_insensitive"),

@@ -1,4 +1,4 @@
-"""Splitting large ordered groups, numbering rows, and joining on hot keys.
+"""Splitting large ordered groups, and numbering rows.
 
 Windows and folds need the rows of a key in order, and one key may own a large
 share of all rows. ``split_groups`` cuts such keys into consecutive chunks at
@@ -15,8 +15,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kartei.plans.storage import written
+
 CHUNK = "chunk"
 _SPLITS = "_splits"
+_RANGE = "_range"
 # Thinning goes up to two to this power.
 _LEVELS = 24
 
@@ -119,6 +122,10 @@ def split_groups(
 
     ``source`` is any table whose keys and order columns cover those of ``rows``;
     give the stored table where ``rows`` is expensive to compute twice.
+
+    The rows are dealt by (keys, chunk), which serves every window over a chunk. It
+    also keeps a join below from passing its own partitioning on to them: a
+    hot key of that join may then be split at run time.
     """
     splits = split_points(rows if source is None else source, keys, order, size)
     found = _points_up_to(F.col(_SPLITS), F.struct(*order))
@@ -126,67 +133,29 @@ def split_groups(
         rows.join(F.broadcast(splits), list(keys), "left")
         .withColumn(CHUNK, F.when(F.col(_SPLITS).isNull(), F.lit(0)).otherwise(found))
         .drop(_SPLITS)
+        .repartition(*keys, CHUNK)
     )
     return Chunked(chunked, tuple(keys), tuple(order), splits)
 
 
-def number_rows(
-    rows: DataFrame, order: Sequence[str], name: str, size: ChunkSize = DEFAULT_SIZE, source: DataFrame | None = None
-) -> DataFrame:
-    """Number all rows from 0 in order, without a single-partition window."""
-    whole = "_whole"
-    cut = split_groups(
-        rows.withColumn(whole, F.lit(0)),
-        [whole],
-        order,
-        size,
-        None if source is None else source.withColumn(whole, F.lit(0)),
-    )
-    carry = cut.carry({"_rows": F.count("*")}, {"_before": F.sum("_rows")})
-    local = cut.rows.withColumn(name, F.row_number().over(cut.window()).cast("bigint") - 1)
-    return (
-        cut.join_carry(local, carry)
-        .withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0).cast("bigint")))
-        .drop("_before", whole, CHUNK)
-    )
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b")
-    text = text.strip().lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+def number_rows(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Number all rows from 0 in order: dealt to tasks by ranges of ``order``, then numbered range by range.
 
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast ``df``."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= _broadcast_limit(df)
-
-
-def join_on_hot_keys(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    identity: Sequence[str] = ("event_id",),
-    size: ChunkSize = DEFAULT_SIZE,
-    max_hot: int = 1_000,
-) -> DataFrame:
-    """``facts`` joined with ``lookup`` (unique on ``on``), where single keys may be hot.
-
-    A lookup within Spark's broadcast limit is left to Spark. Otherwise the most
-    frequent keys of a sample, at most ``max_hot``, are joined by broadcasting
-    their lookup rows, and all other keys by a shuffle. Each fact row takes
-    exactly one of the two ways.
+    Range partitioning takes its bounds from a sample, so the dealt rows are stored with
+    the number of their range before they are counted and numbered; both then see the same ranges.
+    What is broadcast is one count for each range, of which there are at most as many as
+    shuffle partitions. ``order`` must be a total order; rows that tie stay in one range.
     """
-    keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(lookup):
-        return facts.join(lookup, keys, how)
-    sample = _sampled(facts.select(*dict.fromkeys([*keys, *identity])), identity, size.sample_every)
-    counts = sample.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= size.samples)
-    hot = F.broadcast(counts.orderBy(F.desc("_n"), *keys).limit(max_hot).select(*keys))
-    hot_lookup = F.broadcast(lookup.join(hot, keys, "left_semi"))
-    by_broadcast = facts.join(hot, keys, "left_semi").join(hot_lookup, keys, how)
-    by_shuffle = facts.join(hot, keys, "left_anti").join(lookup, keys, how)
-    return by_shuffle.unionByName(by_broadcast)
+    dealt = rows.repartitionByRange(*order).withColumn(_RANGE, F.spark_partition_id())
+    stored = written(dealt, "ranges")
+    counts = stored.groupBy(_RANGE).agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    first = counts.select(_RANGE, F.coalesce(F.sum("_rows").over(earlier), none).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(_RANGE).orderBy(*order)).cast("bigint") - 1
+    return (
+        stored.withColumn(name, within)
+        .join(F.broadcast(first), _RANGE)
+        .withColumn(name, F.col(name) + F.col("_first"))
+        .drop(_RANGE, "_first")
+    )

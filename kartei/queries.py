@@ -213,10 +213,7 @@ _MODES = {
 
 @query
 def answer_ratio(s: Study) -> DataFrame:
-    rated = _answered(s)
-    for name, switches in _MODES.items():
-        rated = judging.with_ratio(rated, name, *switches)
-    return rated.select("event_id", *_MODES)
+    return judging.with_ratios(_answered(s), _MODES).select("event_id", *_MODES)
 
 
 @query
@@ -567,12 +564,6 @@ def _stream_folders(s: Study, name: str) -> tuple[str, str]:
     return f"{folder}/out", f"{folder}/checkpoint"
 
 
-def _run(s: Study, name: str, stream: DataFrame, mode: str = "update") -> DataFrame:
-    out, checkpoint = _stream_folders(s, name)
-    tables.write_batches(stream, out, checkpoint, mode)
-    return tables.read_batches(s.spark, out, stream)
-
-
 def _guess_stream(s: Study) -> DataFrame:
     """All guesses in several micro-batches of mixed times."""
     return _in_parts(s, s.guess_path, GUESSES)
@@ -589,8 +580,12 @@ def _in_parts(s: Study, path: str, schema: T.StructType, parts: int = 4) -> Data
 
 @query
 def stream_judge(s: Study) -> DataFrame:
-    judged = streams.stream_judge(_guess_stream(s), s.cards)
-    return _run(s, "stream-judge", judged.select("event_id", "ratio", "grade", "correct"), "append").drop(tables.BATCH)
+    def judged(batch: DataFrame) -> DataFrame:
+        return streams.judged_batch(batch, s.cards).select("event_id", "ratio", "grade", "correct")
+
+    out, checkpoint = _stream_folders(s, "stream-judge")
+    tables.write_batches(_guess_stream(s), out, checkpoint, "append", judged)
+    return tables.read_batches(s.spark, out, judged(s.guesses)).drop(tables.BATCH)
 
 
 def _kept_up(s: Study, name: str, make: Callable[[str, DataFrame], Keyed], stream: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartei.functions.text import STATUS_OK, marked_word, marker_status
-from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize, join_on_hot_keys
 
 # The languages cards are made for unless told otherwise.
 LANG_LEARN = "DE"
@@ -41,17 +40,15 @@ def translate(
     translations: DataFrame,
     target_lang: str = TARGET_LANG,
     sentence: str = "line",
-    identity: tuple[str, ...] = ("card_id",),
-    size: ChunkSize = DEFAULT_SIZE,
 ) -> DataFrame:
     """Look each sentence up in (sentence, target_lang, translation); NULL for a miss.
 
-    Sentences repeat, so a single one may be hot.
+    Sentences repeat, so a single one may be hot; adaptive execution splits it.
     """
     table = translations.where(F.col("target_lang") == target_lang).select(
         F.col("sentence").alias(sentence), "translation"
     )
-    return join_on_hot_keys(sentences, table, sentence, "left", identity, size)
+    return sentences.join(table, sentence, "left")
 
 
 def card_status(sentence: Column, translation: Column) -> Column:

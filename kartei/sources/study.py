@@ -25,7 +25,7 @@ from kartei.operators.cards import answers
 from kartei.operators.corpus import WordIndex, distinct_words, number_words, tokens, word_positions
 from kartei.operators.history import ORDER, derive_drop, judged_actions
 from kartei.operators.replay import card_status, graded_actions, split_graded
-from kartei.plans.chunks import join_on_hot_keys, number_rows, split_groups
+from kartei.plans.chunks import number_rows, split_groups
 from kartei.plans.storage import new_folder, prepare
 from kartei.sources.lines import LANG_USER, TARGET_LANG, lines_of, sentence_lines
 from kartei.sources.schemas import GUESSES
@@ -140,7 +140,7 @@ class Study:
     def numbered_answers(self) -> DataFrame:
         """(rn, card_id, answer) of the cards that parse, numbered by id."""
         good = self.cards.where(marker_status(F.col("prompt")) == STATUS_OK)
-        numbered = number_rows(answers(good), ["card_id"], "rn", source=good)
+        numbered = number_rows(answers(good), ["card_id"], "rn")
         return self.stored("numbered-answers", numbered)
 
     @cached_property
@@ -158,7 +158,7 @@ class Study:
         event_id = F.col("event_id")
         offset = F.when(event_id % 4 == 0, event_id % 5).otherwise(F.lit(0))
         numbered = self.actions.withColumn("rn", _number_of(F.col("user_id"), offset) % F.lit(self.card_count))
-        joined = join_on_hot_keys(numbered, self.numbered_answers, "rn")
+        joined = numbered.join(self.numbered_answers, "rn")
         guess = guess_of(F.col("event_type"), F.col("answer"))
         return joined.withColumn("guess", guess).select(*GUESSES.names)
 

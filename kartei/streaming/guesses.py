@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from kartei.functions.judging import quality, with_ratio
 from kartei.operators.cards import answers
-from kartei.plans.chunks import fits_broadcast
 from kartei.sources.schemas import GUESSES
 from kartei.streaming.keyed import CardStates, DailyProgress, DropFlags
 
@@ -23,19 +22,14 @@ def read_guesses(
     return reader.option("maxBytesPerTrigger", str(max_bytes)).parquet(path)
 
 
-def _join_static(stream: DataFrame, lookup: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """Stream-static join. A lookup too large to broadcast is salted, as a card may be hot."""
-    if fits_broadcast(lookup):
-        return stream.join(lookup, on)
-    salted = stream.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"]).drop("_salt")
+def judged_batch(guesses: DataFrame, cards: DataFrame) -> DataFrame:
+    """Guesses with ratio, grade and verdict. Stateless.
 
-
-def stream_judge(guesses: DataFrame, cards: DataFrame) -> DataFrame:
-    """Guesses with ratio, grade and verdict. Stateless."""
+    Give it the rows of a micro-batch inside a sink: joins there are adaptive, which a
+    stream's own joins are not, so a hot card is split and a small batch is what is broadcast.
+    """
     return (
-        with_ratio(_join_static(guesses, answers(cards), "card_id"), "ratio")
+        with_ratio(guesses.join(answers(cards), "card_id"), "ratio")
         .withColumn("grade", quality(F.col("ratio")))
         .withColumn("correct", F.col("ratio") == 1.0)
     )

@@ -71,7 +71,7 @@ class Keyed:
 
     def _graded(self, batch: DataFrame, schema: T.StructType, version: int) -> DataFrame:
         rows = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in CARD)).dropDuplicates([*CARD, "event_id"])
-        graded = graded_actions(rows, self.cards, size=self.size).withColumn("correct", F.col("ratio") == 1.0)
+        graded = graded_actions(rows, self.cards).withColumn("correct", F.col("ratio") == 1.0)
         return self.staged(graded, schema, "batch", version)
 
     def process(self, batch: DataFrame, version: int) -> None:
@@ -173,7 +173,7 @@ class DailyProgress(Keyed):
         (counts, seen), before = self._tables(), self.commits.before(version)
         counted = ((F.col("drop_action") == 1) | F.col("correct")).cast("long").alias("answered_today")
         rows = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in CARD)).dropDuplicates([*DECK, "event_id"])
-        judged = judged_actions(rows, self.cards, size=self.size).withColumn("day", F.to_date("created_at"))
+        judged = judged_actions(rows, self.cards).withColumn("day", F.to_date("created_at"))
         schema = T.StructType([*SEEN.fields, COUNTS["answered_today"]])
         new = self.staged(judged.select(*SEEN.names, counted), schema, "batch", version)
         touched = seen.buckets_of(new)

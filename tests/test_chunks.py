@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kartei.plans.chunks import ChunkSize, fits_broadcast, join_on_hot_keys, number_rows, split_groups
+from kartei.plans.chunks import ChunkSize, number_rows, split_groups
 from tests.conftest import TINY
 
 
@@ -38,26 +38,34 @@ def test_small_groups_are_not_split(spark):
     assert split_groups(skewed(spark), ["k"], ["t", "event_id"]).rows.where("chunk <> 0").isEmpty()
 
 
-@pytest.mark.parametrize("size", [TINY, ChunkSize()])
-def test_number_rows(spark, size):
-    numbered = number_rows(skewed(spark).select("t", "event_id"), ["t", "event_id"], "n", size)
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_number_rows(spark, coalesced):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesced)
+    try:
+        numbered = number_rows(skewed(spark).select("t", "event_id"), ["t", "event_id"], "n")
+        assert number_rows(numbered.drop("n").limit(0), ["t", "event_id"], "n").isEmpty()
+    finally:
+        spark.conf.set(name, before)
     rows = sorted((r.t, r.event_id, r.n) for r in numbered.collect())
     assert [n for _, _, n in rows] == list(range(200))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
-@pytest.mark.parametrize("max_hot", [1, 1000])
-def test_join_on_hot_keys(no_broadcast, how, max_hot):
+def test_numbering_deals_rows_to_several_ranges(spark):
+    numbered = number_rows(spark.range(1000).repartition(7).selectExpr("id * 3 AS id", "id % 5 AS _rows"), ["id"], "n")
+    assert numbered.columns == ["id", "_rows", "n"]
+    assert numbered.where("id <> 3 * n OR n IS NULL").isEmpty() and numbered.count() == 1000
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and "row_number() windowspecdefinition(_range" in plan
+
+
+def test_rows_of_a_hot_join_key_are_dealt_anew(no_broadcast):
+    """A join below hands its partitioning to no window: adaptive execution may split what is hot there."""
     spark = no_broadcast
-    facts = skewed(spark)
-    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 40, 2)], "k int, v string")
-    assert not fits_broadcast(lookup)
-    joined = join_on_hot_keys(facts, lookup, "k", how, size=TINY, max_hot=max_hot)
-    plain = facts.join(lookup, "k", how)
-    assert joined.columns == plain.columns
-    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-
-
-def test_small_lookups_are_left_to_spark(spark):
-    assert fits_broadcast(spark.range(1000))
-    assert not fits_broadcast(spark.range(10_000_000))
+    lookup = spark.range(40).selectExpr("cast(id AS int) AS k", "id AS v")
+    cut = split_groups(skewed(spark).join(lookup, "k"), ["k", "v"], ["t", "event_id"])
+    last = cut.rows.selectExpr("*", "1 AS one").withColumn("n", F.row_number().over(cut.window()))
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and "REPARTITION_BY_COL" in plan
+    assert last.count() == 200

@@ -2,11 +2,7 @@ from __future__ import annotations
 
 import re
 
-import pytest
-
 from kartei.operators import corpus
-from kartei.plans.chunks import DEFAULT_SIZE
-from tests.conftest import TINY
 
 SENTENCES = {
     1: "Das Haus, das HAUS und das Dorf.",
@@ -16,11 +12,11 @@ SENTENCES = {
 }
 
 
-def index(spark, size):
+def index(spark):
     sentences = spark.createDataFrame(list(SENTENCES.items()), "sentence_id bigint, sentence string").repartition(3)
     found = corpus.tokens(sentences).cache()
-    words = corpus.number_words(corpus.distinct_words(found).cache(), size).cache()
-    return corpus.WordIndex(words, sentences, corpus.word_positions(found, words, size).cache())
+    words = corpus.number_words(corpus.distinct_words(found).cache()).cache()
+    return corpus.WordIndex(words, sentences, corpus.word_positions(found, words).cache())
 
 
 def expected():
@@ -31,20 +27,19 @@ def expected():
     }
 
 
-@pytest.mark.parametrize("size", [TINY, DEFAULT_SIZE])
-def test_index(no_broadcast, size):
-    built = index(no_broadcast, size)
+def test_index(no_broadcast):
+    built = index(no_broadcast)
     words = {r.word: r.word_id for r in built.words.collect()}
     distinct = sorted({w for w, _, _ in expected()}, key=lambda w: w.encode())
     assert words == {w: i for i, w in enumerate(distinct, 1)}
     names = {i: w for w, i in words.items()}
     assert {(names[r.word_id], r.sentence_id, r.position) for r in built.positions.collect()} == expected()
-    pairs = sorted((r.word, r.sentence_id) for r in corpus.sentences_with_word(built, size).collect())
+    pairs = sorted((r.word, r.sentence_id) for r in corpus.sentences_with_word(built).collect())
     assert pairs == sorted((w, s) for w, s, _ in expected())
 
 
 def test_sample_and_candidates(spark):
-    built = index(spark, DEFAULT_SIZE)
+    built = index(spark)
     drawn = {r.word: (r.sentence_id, r.position) for r in corpus.word_sentence_sample(built).collect()}
     assert set(drawn) == {w for w, _, _ in expected()}
     assert all((w, s, p) in expected() for w, (s, p) in drawn.items())
