@@ -8,8 +8,10 @@ Columns. They are ordered from rare to common, by counts of all documents' n-gra
 fixed number of buckets; those that rows were found to share by that order go last in a second one, as
 buckets can not tell rare from unique. Of sets of a and b n-grams a link needs t/(1+t)(a+b) in common,
 so a linked pair meets in the first n - ceil(t n) + 1 columns of each row, its head.
-Columns of heads that one row alone holds are left out by an exact minimum and
-maximum; a bitmap of fixed size lets through what may be shared, and what slips through is removed by counting.
+Copies are left out, by a bitmap of the rows that stand for a set, so each entry of a column is one more row.
+Heads travel as 42 bits of each column, sorted and packed by the first bits; what is counted once is held by one row
+alone. A bitmap lets through what may be shared. Columns or copies that fall together in bits or bitmaps only
+let more through: candidates are compared in full.
 
 Few rows in a column. Columns of at most `FEW` rows are joined with themselves: pairs of sizes within the
 bound, whose places in both rows leave enough columns for a link, add up their overlap. A
@@ -51,8 +53,14 @@ WORDS = 5
 PER_CENT = 80
 #: Counters of n-grams; 2 MB on each worker.
 BUCKETS = 1 << 18
-#: Bits of the map of shared columns; 4 MB on each worker.
-MAP_BITS = 1 << 25
+#: Slices that the counters travel in.
+SLICES = 1 << 6
+#: Binary digits of places in a map of columns or rows, by the n-grams there are: 4 to 32 MB on each worker.
+LEAST_DIGITS, MOST_DIGITS = 25, 28
+#: Columns are counted by their first PART + 32 bits; those with the same first PART are counted together.
+PART = 10
+#: Columns that a task packs at a time.
+PACKED = 1 << 20
 #: Rows of a column that are paired one by one.
 FEW = 8
 #: N-grams of a block, on average at most.
@@ -121,69 +129,117 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-ROWS = "doc_id long, text_hash long, digest binary, n int, bucket int, found long"
+ROWS = "doc_id long, text_hash long, digest binary, n int, slice int, found binary"
 
 
 def _row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document; at the end a row for each bucket with the n-grams found in it."""
+    """A row for each document; at the end a row for each slice of the buckets with the n-grams found in them."""
     counts = np.zeros(BUCKETS, np.int64)
     names = [c.split()[0] for c in ROWS.split(", ")]
     for batch in batches:
         for some, sets in _sets_of(batch, 2):
             if sets:
                 counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), some.column(1), pa.array([_digest(g) for g in sets], pa.binary()), pa.array([len(g) for g in sets], pa.int32()), none, pa.nulls(len(sets), pa.int64())],
+                [some.column(0), some.column(1), pa.array([_digest(g) for g in sets], pa.binary()), pa.array([len(g) for g in sets], pa.int32()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names,
             )
-    at = np.flatnonzero(counts)
-    k = len(at)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names
-    )
+    if counts.any():
+        found = [x.tobytes() for x in np.split(counts.astype("<i8"), SLICES)]
+        none = [pa.nulls(SLICES, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(found, pa.binary())], names)
 
 
-def _marked(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    spot = grams % np.uint64(MAP_BITS)
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of a slice's counters over all tasks."""
+    total = np.sum([np.frombuffer(x, "<i8") for x in table.column("found").to_pylist()], axis=0, dtype="<i8")
+    return pa.table({"slice": table.column("slice")[:1].cast(pa.int32()), "found": pa.array([total.tobytes()], pa.binary())})
+
+
+def _marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a map; their first digits are its places."""
+    spot = hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
     return bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def _heads(counts, late, shared):
-    """Heads of documents: their columns alone, or whole entries of those that the bitmap `shared` lets through.
+def _heads_of(parts: Iterator[pa.RecordBatch], counts, rows, late) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Sets with n-grams of the rows (row, text) in the bitmap `rows`, and their heads.
 
     Columns in the bitmap `late` come after all others.
     """
+    common = counts.value
+    for batch in parts:
+        stands = _marked(batch.column(0).to_numpy().view(np.uint64), rows.value)
+        for _, sets in _sets_of(batch.filter(pa.array(stands)), 1):
+            sets = [g for g in sets if len(g)]
+            heads = []
+            for grams in sets:
+                keys = [grams, common[(grams % np.uint64(BUCKETS)).astype(np.int64)]]
+                order = np.lexsort(keys if late is None else [*keys, _marked(grams, late.value)])
+                heads.append(grams[order[: head_length(len(grams))]])
+            if sets:
+                yield sets, heads
+
+
+def packed(columns: np.ndarray, few: int) -> pa.RecordBatch:
+    """part, columns: the 32 bits after the first ones, sorted; a column that is there more than few + 1 times is kept so often."""
+    keys = np.sort(columns >> np.uint64(32 - PART))
+    most = max(few, 1) + 1
+    keys = keys[np.concatenate((np.ones(min(most, len(keys)), bool), keys[most:] != keys[:-most]))]
+    ends = np.searchsorted(keys >> np.uint64(32), np.arange((1 << PART) + 1, dtype=np.uint64))
+    low = keys.astype("<u4")
+    there = np.flatnonzero(ends[1:] > ends[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in there], pa.binary())], ["part", "columns"])
+
+
+def _columns(counts, rows, late, few: int):
+    """The columns of all heads, packed."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, bits = counts.value, None if shared is None else shared.value
-        for batch in parts:
-            for some, sets in _sets_of(batch, 2):
-                out: list[tuple] = []
-                for grams in sets:
-                    if not len(grams):
-                        continue
-                    keys = [grams, common[(grams % np.uint64(BUCKETS)).astype(np.int64)]]
-                    order = np.lexsort(keys if late is None else [*keys, _marked(grams, late.value)])
-                    head = grams[order[: head_length(len(grams))]]
-                    place = np.arange(len(head), dtype=np.int32)
-                    if bits is not None:
-                        may = _marked(head, bits)
-                        head, place = head[may], place[may]
-                    if len(head):
-                        out.append((_digest(grams), len(grams), head, place))
-                if not out:
-                    continue
-                repeat = np.repeat(np.arange(len(out)), [len(o[2]) for o in out])
-                digests = np.array([o[0] for o in out], object)
-                gram = _signed(np.concatenate([o[2] for o in out]))
-                if bits is None:
-                    short = np.array([int.from_bytes(o[0][:8], "little", signed=True) for o in out], np.int64)
-                    yield pa.RecordBatch.from_arrays([gram, pa.array(short[repeat])], ["gram", "short"])
-                else:
-                    n = np.array([o[1] for o in out], np.int32)
-                    place = pa.array(np.concatenate([o[3] for o in out]))
-                    yield pa.RecordBatch.from_arrays([gram, pa.array(digests[repeat].tolist(), pa.binary()), pa.array(n[repeat]), place], ["gram", "digest", "n", "place"])
+        held, size = [], 0
+        for _, heads in _heads_of(parts, counts, rows, late):
+            held += heads
+            size += sum(map(len, heads))
+            if size >= PACKED:
+                yield packed(np.concatenate(held), few)
+                held, size = [], 0
+        if held:
+            yield packed(np.concatenate(held), few)
+
+    return batches
+
+
+def counted(few: int, digits: int):
+    """part, bits, crowded: a part's stretch of the map of columns found again, and its columns of more than few rows."""
+    width = digits - PART
+
+    def of_part(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        columns = np.sort(np.frombuffer(b"".join(table.column("columns").to_pylist()), "<u4"))
+        first = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
+        times = np.diff(np.append(first, len(columns)))
+        marks = np.zeros(1 << width, np.uint8)
+        marks[columns[first[times > 1]] >> np.uint32(32 - width)] = 1
+        crowded = columns[first[times > few]].astype(np.int64) | part << 32
+        return pa.table(
+            {"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary()), "crowded": pa.array([crowded], pa.list_(pa.int64()))}
+        )
+
+    return of_part
+
+
+def _heads(counts, rows, late, shared):
+    """Entries of heads, of columns that the bitmap `shared` lets through."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets, heads in _heads_of(parts, counts, rows, late):
+            may = [_marked(head, shared.value) for head in heads]
+            sizes = [int(m.sum()) for m in may]
+            digests = pa.array([_digest(g) for g in sets], pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
+            n = np.repeat(np.array([len(g) for g in sets], np.int32), sizes)
+            gram = _signed(np.concatenate([head[m] for head, m in zip(heads, may)]))
+            place = np.concatenate([np.flatnonzero(m) for m in may]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([gram, digests, pa.array(n), pa.array(place)], ["gram", "digest", "n", "place"])
 
     return batches
 
@@ -310,42 +366,55 @@ def _stars(table: pa.Table) -> pa.Table:
 def _rows(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(documents with digest and n, counts of n-grams by bucket)."""
     found = written(slim.mapInArrow(_row_batches, ROWS), "ngram-rows")
-    counts = np.zeros(BUCKETS, np.int64)
-    summed = found.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("found").alias("found"))
-    table = summed.toArrow()  # at most BUCKETS rows of two numbers
-    counts[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    return found.filter("bucket IS NULL").select("doc_id", "text_hash", "digest", "n"), counts
-
-
-def _shared_map(slim: DataFrame, counts, late=None) -> np.ndarray:
-    """One bit for each place of columns that two rows' heads hold."""
-    heads = slim.mapInArrow(_heads(counts, late, None), "gram long, short long")
-    several = heads.groupBy("gram").agg(F.min("short").alias("a"), F.max("short").alias("b")).filter("a < b")
-    place = F.col("gram").bitwiseAND(F.lit(MAP_BITS - 1))
-    word = several.select(F.shiftright(place, 5).cast("int").alias("word"), F.expr("shiftleft(1L, int(gram & 31))").alias("bit"))
-    table = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MAP_BITS / 32 rows
-    out = np.zeros(MAP_BITS // 32, "<u4")
+    summed = found.filter("slice IS NOT NULL").select("slice", "found").groupBy("slice").applyInArrow(_added, "slice int, found binary")
+    counts = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    table = summed.toArrow()  # at most SLICES rows
+    for at, found_there in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
+        counts[at] = np.frombuffer(found_there, "<i8")
+    return found.filter("slice IS NULL").select("doc_id", "text_hash", "digest", "n"), counts.ravel()
+
+
+def _map_of(hashes: DataFrame) -> np.ndarray:
+    """One bit for each place of these hashes (h)."""
+    place = F.shiftrightunsigned("h", 64 - LEAST_DIGITS)
+    word = hashes.select(F.shiftright(place, 5).cast("int").alias("word"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - LEAST_DIGITS}) & 31))").alias("bit"))
+    table = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most as many rows as the map has words
+    out = np.zeros((1 << LEAST_DIGITS) // 32, "<u4")
     out[table.column(0).to_numpy()] = table.column(1).to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
 
-def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def _shared(known: DataFrame, counts, rows, late, few: int, digits: int) -> tuple[np.ndarray, DataFrame]:
+    """(the map of columns that heads of two rows hold, the columns of more than few rows)."""
+    columns = known.mapInArrow(_columns(counts, rows, late, few), "part int, columns binary")
+    found = written(columns.groupBy("part").applyInArrow(counted(few, digits), "part int, bits binary, crowded array<bigint>"), "shared-columns")
+    bits = np.zeros((1 << PART, (1 << digits - PART) // 8), np.uint8)
+    table = found.select("part", "bits").toArrow()  # the map, in stretches
+    for part, stretch in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
+        bits[part] = np.frombuffer(stretch, np.uint8)
+    return bits.ravel(), found.select(F.explode("crowded").alias("many"))
+
+
+def links(slim: DataFrame, documents: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """a, b: digests of linked sets; every linked pair is connected by them.
 
-    slim: doc_id, text_hash, text (bytes); classes: digest and row, a (doc_id, text_hash) that has it.
+    slim: doc_id, text_hash, text (bytes); documents: the same rows with their digest; classes: digest and row, a
+    (doc_id, text_hash) that has it.
     """
     spark = slim.sparkSession
-    counted = spark.sparkContext.broadcast(counts)
+    cast = spark.sparkContext.broadcast
+    digits = min(MOST_DIGITS, max(LEAST_DIGITS, int(counts.sum() // 4).bit_length()))
+    known = slim.select(F.xxhash64("doc_id", "text_hash").alias("row"), "text")
+    common, stands = cast(counts), cast(_map_of(classes.select(F.xxhash64("row.doc_id", "row.text_hash").alias("h"))))
     # columns that heads were found to share go last, and others take their places in the heads
-    late = spark.sparkContext.broadcast(_shared_map(slim, counted))
-    shared = spark.sparkContext.broadcast(_shared_map(slim, counted, late))
-    heads = slim.mapInArrow(_heads(counted, late, shared), "gram long, digest binary, n int, place int")
-    heads = written(heads.groupBy("gram", "digest").agg(F.min("n").alias("n"), F.min("place").alias("place")), "heads")
-    many = heads.groupBy("gram").agg(F.count("*").alias("degree")).filter(F.col("degree") > few).select(F.col("gram").alias("many"))
-    many = _small(written(many, "crowded-columns"))
+    late = cast(_shared(known, common, stands, None, few, digits)[0])
+    shared, many = _shared(known, common, stands, late, few, digits)
+    heads = known.mapInArrow(_heads(common, stands, late, cast(shared)), "gram long, digest binary, n int, place int")
+    heads = written(heads, "heads").withColumn("column", F.shiftrightunsigned("gram", 32 - PART))
+    many = _small(many)
 
     # blocks of the rows that are in crowded columns: like sizes, the same smallest crowded column, and a part
-    crowded = written(heads.join(many, F.col("gram") == F.col("many"), "left_semi"), "crowded-heads")
+    crowded = written(heads.join(many, F.col("column") == F.col("many"), "left_semi").select("gram", "digest", "n"), "crowded-heads")
     home = crowded.groupBy("digest", "n").agg(F.min(F.struct(F.xxhash64("gram").alias("h"), "gram")).alias("least"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PER_CENT))).cast("int")
     home = written(home.select("digest", "n", F.col("least.gram").alias("home"), band.alias("band")), "homes")
@@ -356,7 +425,7 @@ def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FE
     blocks = written(blocks, "blocks")
 
     # pairs of rows that meet in columns of few rows; those that share a crowded column too meet in their blocks
-    sparse = heads.join(many, F.col("gram") == F.col("many"), "left_anti").select("gram", "digest", "n", "place")
+    sparse = heads.join(many, F.col("column") == F.col("many"), "left_anti").select("gram", "digest", "n", "place")
     left, right = (sparse.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in sparse.columns[1:])) for side in "ab")
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * PER_CENT / F.lit(100 + PER_CENT))
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * PER_CENT) & (F.col("n_b") * 100 >= F.col("n_a") * PER_CENT)
@@ -380,23 +449,27 @@ def links(slim: DataFrame, classes: DataFrame, counts: np.ndarray, few: int = FE
     bundles = max(1, candidates.count() // STARS)
     bundle = F.pmod(F.xxhash64("a"), F.lit(bundles)).alias("bundle")
     stars = candidates.select(bundle, F.col("a").alias("star"), F.col("b").alias("digest"))
-    stars = stars.union(candidates.select(bundle, F.col("a"), F.col("a")).distinct())
+    stars = written(stars.union(candidates.select(bundle, F.col("a"), F.col("a")).distinct()), "stars")
 
     # the texts of all rows that are compared, once each
     wanted = stars.select("digest").union(blocks.select("digest")).distinct()
     holders = classes.join(wanted, "digest").select("digest", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
     holders = _small(written(holders, "holders"))
-    texts = slim.join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("digest", "text")
-    texts = written(texts.groupBy("digest").agg(F.first("text").alias("text")), "texts")
-
-    found = stars.join(texts, "digest").groupBy("bundle").applyInArrow(_stars, LINKS)
+    held = slim.join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("digest", "text")
+    # rows that are there several times are told by their ids, so that the others' texts stay where they are
+    again = documents.drop("digest", "n").join(holders, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    again = _small(written(again.groupBy("digest").count().filter("count > 1").select("digest"), "repeated-rows"))
+    single = held.join(again, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = written(held.join(again, "digest", "left_anti").union(single), "texts")
+
+    found = texts.join(_small(stars), "digest").select("bundle", "star", "digest", "text").groupBy("bundle").applyInArrow(_stars, LINKS)
     sides = tiles.filter("one <> other")
     asked = sides.select("one", "other", F.lit(0).alias("side"), F.col("one").alias("block"))
     asked = asked.union(sides.select("one", "other", F.lit(1), "other")).union(tiles.filter("one = other").select("one", "other", F.lit(2), "one"))
     rows = blocks.select("digest", "block").join(asked.withColumn("tile", F.xxhash64("one", "other")), "block").select("tile", "side", "digest")
     rows = written(rows, "tile-rows")
     bundles = max(1, rows.count() // TILE_ROWS)
-    tasks = rows.join(texts, "digest").withColumn("bundle", F.pmod("tile", F.lit(bundles)))
+    tasks = texts.join(_small(rows), "digest").select("tile", "side", "digest", "text").withColumn("bundle", F.pmod("tile", F.lit(bundles)))
     products = tasks.groupBy("bundle").applyInArrow(_products, LINKS)
     return written(found.union(products), "ngram-links")
 
@@ -414,7 +487,7 @@ def near_duplicates(docs: DataFrame, few: int = FEW, block: int = BLOCK) -> Data
     # a set of very many copies is one row from here on
     classes = documents.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
     classes = written(classes, "classes")
-    linked = links(slim, classes, counts, few, block)
+    linked = links(slim, documents, classes, counts, few, block)
     # sets get numbers: the links' ends are few beside all documents
     ends = linked.select(F.col("a").alias("digest")).union(linked.select("b")).distinct()
     numbered = written(ends.withColumn("node", F.monotonically_increasing_id()), "nodes")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kartei.llm import filter_audit, jaccard_join, spans, va_kmeans
@@ -220,6 +224,61 @@ def test_jaccard_join_of_an_empty_table_and_of_a_long_text(spark):
     assert got == {i: (n, c) for i, n, c in jaccard_model(rows)}
 
 
+def test_jaccard_join_of_rows_that_are_there_many_times(spark):
+    words = [f"u{i}" for i in range(80)]
+    near, far = " ".join(words), " ".join([*words[:78], "x", "y"])
+    rows = [(7, near)] * 30 + [(None, far)] * 12 + [(9, far), (3, "else"), (3, "else")]
+    got = [tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(jaccard_model(rows), key=str)
+    assert len(got) == 45 and {c for i, _, c in got if i != 3} == {7}
+
+
+@pytest.mark.parametrize("few, digits", [(1, 13), (3, 25)])
+def test_columns_are_counted_by_their_first_bits(few, digits):
+    rng = np.random.default_rng(12)
+    columns = rng.integers(0, 1 << 63, 4_000).astype(np.uint64) * np.uint64(2)
+    columns[:2] = 0, 2**64 - 1
+    times = rng.choice([1, 2, 3, 4, 9, 200], len(columns), p=[0.7, 0.1, 0.1, 0.05, 0.04, 0.01])
+    tasks = np.array_split(rng.permutation(np.repeat(columns, times)), 3)
+    rows = [r for t in tasks for r in jaccard_join.packed(t, few).to_pylist()]
+    assert max(len(r["columns"]) for r in rows) < 4 * len(columns)
+    shared, crowded = np.zeros((1 << digits) // 8, np.uint8).reshape(1 << jaccard_join.PART, -1), []
+    for part in {r["part"] for r in rows}:
+        own = pa.Table.from_pylist([r for r in rows if r["part"] == part], pa.schema([("part", pa.int32()), ("columns", pa.binary())]))
+        (found,) = jaccard_join.counted(few, digits)(own).to_pylist()
+        crowded += found["crowded"]
+        shared[part] = np.frombuffer(found["bits"], np.uint8)
+    assert sorted(crowded) == sorted((columns[times > few] >> np.uint64(22)).tolist())
+    marked = jaccard_join._marked(columns, shared.ravel())
+    assert marked[times > 1].all() and (digits < 25 or marked[times == 1].mean() < 0.01)
+
+
+def test_jaccard_join_moves_less_than_its_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(400))) for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    moved, ended = {}, threading.Event()
+    before = {name for top in folders for _, _, names in os.walk(top) for name in names}
+
+    def watch():  # Spark deletes the files of a shuffle when its query has ended
+        while not ended.wait(0.03):
+            for folder, _, names in (x for top in folders for x in os.walk(top)):
+                for name in names:
+                    with contextlib.suppress(FileNotFoundError):
+                        if name.startswith("shuffle_") and name.endswith(".data") and name not in before:
+                            moved[name] = os.path.getsize(f"{folder}/{name}")
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert jaccard_join.near_duplicates(docs).select("component_id").distinct().count() == len(rows)
+    finally:
+        ended.set()
+        watcher.join()
+    assert 0 < sum(moved.values()) < sum(len(text) for _, text in rows)
+
+
 def test_products_and_forests():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(40)]
