@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from kartei.operators.history import CARD, DECK, ORDER, derive_drop, judged_actions
 from kartei.operators.replay import graded_actions, late_keys, sm2_incremental, snapshot, split_graded, status_of
 from kartei.plans.chunks import DEFAULT_SIZE, ChunkSize, split_groups
+from kartei.plans.storage import written
 from kartei.sources.schemas import HISTORY
 from kartei.sources.sinks import deck_upsert, to_second
 from kartei.streaming.segments import VERSION, Commits, Segment, Segments, each_once, newest
@@ -213,6 +214,9 @@ class GuessLoop(DropFlags):
         return self.flagged().select(*HISTORY.names)
 
     def deck_table(self) -> DataFrame:
-        """The deck table with the last status of every card that was guessed."""
+        """The deck table with the last status of every card that was guessed.
+
+        The decks are stored as they are now, so the plan of what is returned does not hold theirs.
+        """
         rows = self._states().read(self.commits.before().get("states", []))
-        return deck_upsert(self.decks, status_of(rows.withColumn("last_at", F.col("last_order.created_at"))))
+        return deck_upsert(written(self.decks, "decks"), status_of(rows.withColumn("last_at", F.col("last_order.created_at"))))
