@@ -128,15 +128,17 @@ def links(different: DataFrame, crowded: int = CROWDED) -> DataFrame:
     spread = different.repartition(_tasks(different), "bits")
     emitted = spread.select("bits", F.explode_outer(_variants(F.col("bits"))).alias("variant"))
     met = emitted.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(emitted.join(met, "variant"), "variants")
-    sparse = met.filter(F.col("n") <= crowded).select("variant", "bits")
+    # an exploded table is sized as the one before it, and stored variants as their files, which repeats make
+    # small: either may pass for small enough to broadcast, so these joins are told to shuffle and sort
+    met = written(emitted.hint("merge").join(met, "variant"), "variants")
+    sparse = met.filter(F.col("n") <= crowded).select("variant", "bits").hint("merge")
     left, right = sparse.withColumnRenamed("bits", "a"), sparse.withColumnRenamed("bits", "b")
     pairs = left.join(right, "variant").filter((F.col("a") < F.col("b")) & _meets_here()).select("a", "b")
     dense = met.filter(F.col("n") > crowded).select("bits").distinct()
     masks = F.array(*(F.lit(m).cast("long") for m in _ball(64, RADIUS // 2)))
     points = dense.select("bits", F.explode_outer(F.transform(masks, lambda m: F.col("bits").bitwiseXOR(m))).alias("point"))
     centres = points.groupBy("point").agg(F.min("bits").alias("b"), F.max("bits").alias("last")).filter("b < last").drop("last")
-    stars = points.join(centres, "point").filter("bits <> b").select(F.col("bits").alias("a"), "b").distinct()
+    stars = points.hint("merge").join(centres, "point").filter("bits <> b").select(F.col("bits").alias("a"), "b").distinct()
     return pairs.union(stars)
 
 

@@ -103,3 +103,16 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_digests(docs).collect() == []
     assert simhash.one_of_each(docs).collect() == []
+
+
+@pytest.mark.parametrize("crowded", [1_000, 2])
+def test_links_broadcast_no_exploded_table(spark, monkeypatch, crowded):
+    """Spark sizes variants as the fingerprints they come from; as a broadcast they would fill the driver."""
+    frames, real = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda frame, name: frames.append(frame) or real(frame, name))
+    different = spark.createDataFrame([(7,), (7 ^ 1,), (7 ^ 2,), (7 ^ 4,), (1 << 40,)], "bits long")
+    linked = simhash.links(different, crowded)
+    assert linked.count() > 0
+    for frame in [*frames, linked]:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
