@@ -1,8 +1,14 @@
 from __future__ import annotations
 
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from kartei.operators import corpus
+from kartei.plans import storage
+from kartei.sources import study as study_tables
+from kartei.sources.study import Study
 
 SENTENCES = {
     1: "Das Haus, das HAUS und das Dorf.",
@@ -54,3 +60,40 @@ def test_sample_and_candidates(spark):
     assert (cards["Dorf"].word_translation, cards["Dorf"].full_translation) == ("village", "The house and the village.")
     assert (cards["ist"].word_translation, cards["ist"].full_translation) == ("", "no mark")
     assert cards["im"].full_translation is None
+
+
+def study(spark, tmp_path):
+    rows = [(i, "de", "s", f"Das Haus {i} steht im Dorf.\nDie Übung{i % 3} ist im Haus, im HAUS.\n-- nichts\n...") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+    docs.write.parquet(f"{tmp_path}/given/documents.parquet")
+    return Study(spark, f"{tmp_path}/given")
+
+
+def test_word_index_stores_no_occurrence_twice(spark, tmp_path, monkeypatch):
+    """Tokens are not stored beside positions, and no shuffle holds the occurrences of all words."""
+    written = []
+    real = study_tables.write_compact
+    monkeypatch.setattr(study_tables, "write_compact", lambda frame, path: written.append(path.rsplit("/", 1)[1]) or real(frame, path))
+    index = study(spark, tmp_path).word_index
+    names = [n.split("-", 1)[1].rsplit("-", 1)[0] for n in written]
+    assert names == ["sentences", "distinct-words", "words"] + ["positions"] * study_tables.WORD_PARTS
+    got = sorted(tuple(r) for r in index.positions.join(index.words, "word_id").select("word", "sentence_id", "position").collect())
+    want = [(w, r.sentence_id, p) for r in index.sentences.collect() for p, w in enumerate(x for x in re.split(corpus.SEPARATORS, r.sentence) if x)]
+    assert got == sorted(want)
+
+
+def test_compact_tables_leave_no_shuffle_files(spark):
+    before = spark.conf.get(storage.RELEASE, None)
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: set(blocks.getAllFiles().mkString("\n").split("\n"))
+    known = held()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    stored = storage.compact(rows, "rows")
+    for _ in range(100):  # files go in the background
+        left = [f for f in held() - known if "shuffle_" in f]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert left == []
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, rows.collect()))
+    assert spark.conf.get(storage.RELEASE, None) == before
