@@ -97,3 +97,26 @@ def test_compact_tables_leave_no_shuffle_files(spark):
     assert left == []
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, rows.collect()))
     assert spark.conf.get(storage.RELEASE, None) == before
+
+
+def test_candidates_meet_a_table_with_repeats_and_nulls(spark):
+    """Cards that a hash rules out keep NULL; others meet each row of the table, as a left join has it."""
+    built = index(spark)
+    rows = [("Das *Haus*, das HAUS und das Dorf.", "EN", "a *a*"), (None, "EN", "none"), ("Die Übung *ist* im Haus", "EN", "b"), ("Die Übung *ist* im Haus", "EN", None), ("Die Übung ist *im* Haus", "FR", "c")]
+    translations = spark.createDataFrame(rows, "sentence string, target_lang string, translation string")
+    got = corpus.candidate_cards(built, translations)
+    plain = corpus.candidate_cards(built).drop("word_translation", "full_translation")
+    table = translations.where("target_lang = 'EN'").select(F.col("sentence").alias("marked_sentence"), F.col("translation").alias("full"))
+    want = plain.join(table, "marked_sentence", "left").withColumn("full", F.replace("full", F.lit("*"), F.lit("")))
+    assert got.columns == ["marked_sentence", "word_id", "sentence_id", "answer", "prompt", "word_translation", "full_translation"]
+    assert sorted(map(str, got.drop("word_translation").collect())) == sorted(map(str, want.withColumnRenamed("full", "full_translation").collect()))
+
+
+def test_translations_store_sentences_once_and_no_cards(spark, tmp_path, monkeypatch):
+    stored = []
+    real = Study.stored
+    monkeypatch.setattr(Study, "stored", lambda self, name, rows: stored.append((name, rows.columns)) or real(self, name, rows))
+    tables = study(spark, tmp_path)
+    assert tables.translations.columns == ["sentence", "target_lang", "translation"]
+    assert tables.translations.count() > 0
+    assert [x for x in stored if x[0] != "sentences"] == [("translations", ["sentence"])]
