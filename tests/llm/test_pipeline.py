@@ -126,3 +126,14 @@ def test_a_document_that_is_one_long_item(spark, monkeypatch, most):
 def test_one_of_each_in_a_large_group(spark):
     docs = frame(spark, [(i, "the same text for all of them") for i in range(3_000, 0, -1)] + [(None, "the same text for all of them")])
     assert [r.doc_id for r in simhash.one_of_each(docs).collect()] == [1]
+
+
+def test_near_duplicates_stage_broadcasts_no_exploded_table(spark, tables, monkeypatch):
+    frames, real = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda frame, name: frames.append((name, frame)) or real(frame, name))
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, tables).count() > 0
+    plans = [(name, frame._jdf.queryExecution().executedPlan().toString()) for name, frame in frames]
+    exploded = [name for name, plan in plans if "Generate" in plan]
+    assert exploded == ["variants"]
+    assert [name for name, plan in plans if "Generate" in plan and "Broadcast" in plan] == []
